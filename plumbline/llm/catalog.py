@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing
+from plumbline.llm import exact_dedup, mixing, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": mixing.query,
+        "op7_secrets": secrets.query,
+        "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
     }
 
