@@ -10,6 +10,8 @@ import pyarrow as pa
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+#: All but ASCII letters and the bytes of non-ASCII characters.
+_NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240229)
@@ -63,16 +65,21 @@ def raw(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """start, end: byte places of each word; first: index of each text's first word, one more entry than texts; hash."""
+    """start, end: byte places of each word; first: index of each text's first word, one more entry than texts; hash.
 
-    def __init__(self, column: pa.ChunkedArray | pa.Array, lower: bool = False, hashes: bool = True):
+    Words are what white space leaves, or with letters runs of letters. stems: for each n given, a hash of the first n
+    bytes of each longer word, and 0 for the others.
+    """
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array, lower: bool = False, letters: bool = False, stems: tuple[int, ...] = ()):
         self.data, self.at = raw(column)
         n = len(self.at) - 1
         starts, ends, codes, counts = [], [], [], np.zeros(n + 1, np.int64)
+        parts: list[list[np.ndarray]] = [[] for _ in stems]
         for a, b in self._chunks():
             lo, hi = self.at[a], self.at[b]
             part = self.data[lo:hi]
-            ink = ~_IS_SPACE[part]
+            ink = ~(_NO_LETTER if letters else _IS_SPACE)[part]
             cut = np.zeros(len(part) + 1, bool)
             cut[self.at[a : b + 1] - lo] = True
             fresh = ink.copy()
@@ -83,15 +90,20 @@ class Words:
             counts[a + 1 : b + 1] = np.diff(np.searchsorted(s, self.at[a : b + 1] - lo))
             starts.append(s + lo)
             ends.append(e + lo)
-            if hashes:
-                up, down = _power(len(part) + 1)
-                table = _BYTE[_LOWER] if lower else _BYTE
-                total = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(table[part] * up[: len(part)], out=total[1:])
-                codes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+            up, down = _power(len(part) + 1)
+            table = _BYTE[_LOWER] if lower else _BYTE
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * up[: len(part)], out=total[1:])
+            codes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+            for k, n in enumerate(stems):
+                long = np.flatnonzero(e - s > n)
+                code = np.zeros(len(s), np.uint64)
+                code[long] = mix((total[s[long] + n] - total[s[long]]) * down[s[long]] + np.uint64(n << 32))
+                parts[k].append(code)
         cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
         self.start, self.end = cat(starts, np.int64), cat(ends, np.int64)
         self.hash = cat(codes, np.uint64)
+        self.stems = [cat(x, np.uint64) for x in parts]
         self.first = np.cumsum(counts)
 
     def _chunks(self) -> Iterator[tuple[int, int]]:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing, packing, secrets
+from plumbline.llm import exact_dedup, mixing, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.query,
         "op3_mixing": mixing.query,
         "op7_secrets": secrets.query,
         "op8_packing": packing.query,
