@@ -9,9 +9,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm._words import raw
+
 #: Bytes of text that one group task of an operator holds at a time (a single longer document still makes one group).
 GROUP_BYTES = 6 << 20
 
@@ -63,19 +66,68 @@ def volume(df: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(n), int(size)
 
 
-def grouped(docs: DataFrame, size: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Add g, a group of about group_bytes of text: all rows of a doc_id are in one group."""
-    n = max(1, -(-size // group_bytes))
-    return docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+def pack_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """g, rows, bytes, blob: the rows of docs in groups of about group_bytes of text, as they are read, without a shuffle.
+
+    A blob is a compressed Arrow stream of doc_id and text (see unpack). The table is spooled, so g and the place of a
+    row in its group are fixed from then on: later steps read it again, and replies find their rows by them.
+    """
+
+    def pack(batches):
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            nonlocal made, held, size
+            t = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(t.combine_chunks())
+            out = {"g": [(part << 32) + made], "rows": [t.num_rows], "bytes": [size], "blob": [sink.getvalue().to_pybytes()]}
+            made, held, size = made + 1, [], 0
+            return pa.RecordBatch.from_pydict(out, pa.schema([("g", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("blob", pa.binary())]))
+
+        for b in batches:
+            upto, a = raw(b["text"])[1], 0
+            while a < b.num_rows:
+                z = max(a + 1, int(np.searchsorted(upto, upto[a] + group_bytes - size, "right")) - 1)
+                held.append(b.slice(a, z - a))
+                size += int(upto[z] - upto[a])
+                a = z
+                if size >= group_bytes or a < b.num_rows:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return spool(frame(docs).mapInArrow(pack, "g long, rows long, bytes long, blob binary"), "groups")
+
+
+def unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def map_groups(groups: DataFrame, fn: Callable[[int, pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """fn(g, rows) of every group."""
+
+    def run(batches):
+        for b in batches:
+            for g, blob in zip(b["g"].to_pylist(), b["blob"], strict=True):
+                out = fn(g, unpack(blob.as_buffer()))
+                if out is not None:
+                    yield from out.to_batches()
+
+    return groups.select("g", "blob").mapInArrow(run, schema)
 
 
-def per_group(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "g") -> DataFrame:
-    return df.groupBy(key).applyInArrow(fn, schema)
+def answer_groups(groups: DataFrame, replies: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """fn(g, rows, replies) of every group with the replies that carry its g."""
+    empty = pa.schema([])
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty.empty_table()
+        return fn(left["g"][0].as_py(), unpack(left["blob"][0].as_buffer()), right)
 
-def with_replies(df: DataFrame, replies: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, key: str = "g") -> DataFrame:
-    """Each group of df with the blobs sent back to it."""
-    return df.groupBy(key).cogroup(replies.groupBy(key)).applyInArrow(fn, schema)
+    return groups.select("g", "blob").groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(run, schema)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, per_task: int = 20_000) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing, packing, secrets, toxicity
+from plumbline.llm import exact_dedup, mixing, packing, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.query,
         "op2_toxicity": toxicity.query,
         "op3_mixing": mixing.query,
         "op7_secrets": secrets.query,
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
     }
