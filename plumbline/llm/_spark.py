@@ -130,7 +130,7 @@ def answer_groups(groups: DataFrame, replies: DataFrame, fn: Callable[[int, pa.T
     return groups.select("g", "blob").groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(run, schema)
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, per_task: int = 20_000) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, per_task: int = 20_000, salt: str = "doc_id") -> DataFrame:
     """left join right on key, where right has one row per key and weight, the number of left rows of that key.
 
     A key with more than per_task rows on the left is spread over several tasks: its right row is copied once per salt.
@@ -140,7 +140,7 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, per_
     wide = many.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
     hot = many.where("salts > 1").select(F.col(key).alias("hot_key"), F.col("salts").alias("hot_salts"))
     spread = left.join(hot, F.col(key) == F.col("hot_key"), "left")
-    spread = spread.withColumn("salt", F.when(F.col("hot_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("hot_salts"))).cast("int")).drop("hot_key", "hot_salts")
+    spread = spread.withColumn("salt", F.when(F.col("hot_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt), F.col("hot_salts"))).cast("int")).drop("hot_key", "hot_salts")
     return spread.join(wide, [key, "salt"], "left").drop("salt")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing, packing, secrets, substring_dedup, toxicity
+from plumbline.llm import exact_dedup, hamming_search, html_extract, mixing, packing, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.query,
         "op2_toxicity": toxicity.query,
         "op3_mixing": mixing.query,
+        "op5_html_extract": html_extract.query,
         "op7_secrets": secrets.query,
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
+        "op10_hamming_search": hamming_search.query,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
+        "op10_hamming_search": hamming_search.SQL,
     }
