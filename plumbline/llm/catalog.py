@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, hamming_search, html_extract, mixing, packing, secrets, substring_dedup, toxicity
+from plumbline.llm import exact_dedup, hamming_search, html_extract, language_model, mixing, packing, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.query,
         "op3_mixing": mixing.query,
         "op5_html_extract": html_extract.query,
+        "op6_language_model": language_model.query,
         "op7_secrets": secrets.query,
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
