@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _IS_SPACE = np.zeros(256, bool)
@@ -131,6 +133,15 @@ class Words:
         return at, mix(total[at])
 
 
+def freeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, for exchange between tasks of one job."""
+    return zstandard.compress(pickle.dumps([np.ascontiguousarray(a) for a in arrays], 5), 1)
+
+
+def thaw(blob: bytes) -> list[np.ndarray]:
+    return pickle.loads(zstandard.decompress(blob))
+
+
 def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 

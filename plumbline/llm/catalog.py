@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, hamming_search, html_extract, language_model, mixing, packing, secrets, substring_dedup, toxicity
+from plumbline.llm import exact_dedup, hamming_search, html_extract, jaccard_join, language_model, mixing, packing, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.query,
         "op2_toxicity": toxicity.query,
         "op3_mixing": mixing.query,
+        "op4_jaccard_join": jaccard_join.query,
         "op5_html_extract": html_extract.query,
         "op6_language_model": language_model.query,
         "op7_secrets": secrets.query,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.SQL,
+        "op4_jaccard_join": jaccard_join.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
         "op10_hamming_search": hamming_search.SQL,
     }

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._spark import answer_groups, map_groups, pack_groups, spool
-from plumbline.llm._words import Words, mix
+from plumbline.llm._words import Words, freeze, mix, thaw
 
 GROUP_BYTES = 12 << 20
 TOKENS_PER_BUCKET = 2_000_000
@@ -25,14 +23,6 @@ MOST_SEATS = 256
 REPLY = "g long, kind int, bucket int, blob binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps([np.ascontiguousarray(a) for a in arrays], 5), 1)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    return pickle.loads(zstandard.decompress(blob))
-
-
 def discount(counts: np.ndarray) -> float:
     """From the numbers of types seen once and twice."""
     once, twice = int((counts == 1).sum()), int((counts == 2).sum())
@@ -161,7 +151,7 @@ def _pairs(buckets: int):
         for b, of, at in p.parts():
             used, word = np.unique(p.word[at], return_inverse=True)
             sizes = np.bincount(p.context[at] - of.start, minlength=of.stop - of.start)
-            blobs.append(pack(p.contexts[of], sizes.astype(np.uint32), p.words[used], word.astype(np.uint32 if len(used) > 65535 else np.uint16), p.count[at].astype(np.uint32)))
+            blobs.append(freeze(p.contexts[of], sizes.astype(np.uint32), p.words[used], word.astype(np.uint32 if len(used) > 65535 else np.uint16), p.count[at].astype(np.uint32)))
             numbers.append(b)
         return pa.table({"bucket": pa.array(numbers, pa.int32()), "g": pa.array([g] * len(numbers), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
@@ -175,7 +165,7 @@ def _restaurants(word_buckets: int, seed: int):
         on by word: its count in training and the tables that serve it, the customers of the root."""
         t = t.sort_by("g")
         bucket, groups = t["bucket"][0].as_py(), t["g"].to_pylist()
-        parts = [unpack(x) for x in t["blob"].to_pylist()]
+        parts = [thaw(x) for x in t["blob"].to_pylist()]
         contexts, c = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         words, w = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
         of_pair, of_word, a, z = [], [], 0, 0
@@ -216,7 +206,7 @@ def _restaurants(word_buckets: int, seed: int):
             out["g"].append(g)
             out["kind"].append(1)
             out["bucket"].append(bucket)
-            out["blob"].append(pack(every[which[z : z + pairs]], up[c[a : a + len(p[0])]]))
+            out["blob"].append(freeze(every[which[z : z + pairs]], up[c[a : a + len(p[0])]]))
             a, z = a + len(p[0]), z + pairs
         uses, served = np.bincount(dish, n, len(words)), np.bincount(dish, tables, len(words))
         known = np.flatnonzero(uses)
@@ -226,7 +216,7 @@ def _restaurants(word_buckets: int, seed: int):
             out["g"].append(-1)
             out["kind"].append(0)
             out["bucket"].append(b)
-            out["blob"].append(pack(words[own], uses[own].astype(np.uint32 if uses.max() < 2**32 else np.uint64), served[own].astype(np.float32)))
+            out["blob"].append(freeze(words[own], uses[own].astype(np.uint32 if uses.max() < 2**32 else np.uint64), served[own].astype(np.float32)))
         return pa.table({"g": pa.array(out["g"], pa.int64()), "kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
     return run
@@ -234,13 +224,13 @@ def _restaurants(word_buckets: int, seed: int):
 
 def _vocabulary(t: pa.Table) -> pa.Table:
     """Merge what the buckets of contexts sent for a bucket of words."""
-    parts = [unpack(x) for x in t["blob"].to_pylist()]
+    parts = [thaw(x) for x in t["blob"].to_pylist()]
     words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     uses = np.bincount(at, np.concatenate([p[1].astype(float) for p in parts]), len(words)).astype(np.int64)
     served = np.maximum(1, np.round(np.bincount(at, np.concatenate([p[2] for p in parts]), len(words)))).astype(np.int64)
     return pa.table({
         "bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "words": [len(words)], "tokens": [int(uses.sum())], "served": [int(served.sum())],
-        "once": [int((served == 1).sum())], "twice": [int((served == 2).sum())], "blob": pa.array([pack(words, uses, served)], pa.binary()),
+        "once": [int((served == 1).sum())], "twice": [int((served == 2).sum())], "blob": pa.array([freeze(words, uses, served)], pa.binary()),
     })
 
 
@@ -250,7 +240,7 @@ def _asked(word_buckets: int):
         to = ((words >> np.uint64(20)) % np.uint64(word_buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         numbers, cut = np.unique(to[order], return_index=True)
-        blobs = [pack(x) for x in np.split(words[order], cut[1:])]
+        blobs = [freeze(x) for x in np.split(words[order], cut[1:])]
         return pa.table({"bucket": pa.array(numbers.astype(np.int32)), "g": pa.array([g] * len(blobs), pa.int64()), "asked": pa.array(blobs, pa.binary())})
 
     return run
@@ -264,7 +254,7 @@ def _root(totals: dict, seed: int):
     def run(asked: pa.Table, vocabulary: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.table({"g": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        words, uses, served = unpack(vocabulary["blob"][0].as_py()) if vocabulary.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        words, uses, served = thaw(vocabulary["blob"][0].as_py()) if vocabulary.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         bucket = asked["bucket"][0].as_py()
         # the root's dishes are one restaurant; other buckets' dishes count with one table each, which an even base makes all but sure
         away = totals["words"] - len(words)
@@ -281,12 +271,12 @@ def _root(totals: dict, seed: int):
         uses = np.append(uses, 0)
         out = []
         for blob in asked["asked"].to_pylist():
-            (own,) = unpack(blob)
+            (own,) = thaw(blob)
             at = np.searchsorted(words, own)
             found = at < len(words)
             found[found] = words[at[found]] == own[found]
             at = np.where(found, at, len(words))
-            out.append(pack(uses[at], chance[at]))
+            out.append(freeze(uses[at], chance[at]))
         return pa.table({"g": asked["g"], "kind": pa.array([2] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
     return run
@@ -300,13 +290,13 @@ def _score(totals: dict, buckets: int, word_buckets: int):
             (pair_blobs if kind == 1 else word_blobs)[b] = blob
         direct, up = np.zeros(len(p.count), np.float32), np.ones(len(p.contexts), np.float32)
         for b, of, at in p.parts():
-            direct[at], up[of] = unpack(pair_blobs[b])
+            direct[at], up[of] = thaw(pair_blobs[b])
         uses, chance = np.zeros(len(p.words), np.int64), np.zeros(len(p.words), np.float32)
         to = ((p.words >> np.uint64(20)) % np.uint64(word_buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         numbers, cut = np.unique(to[order], return_index=True)
         for b, own in zip(numbers.tolist(), np.split(order, cut[1:]), strict=True):
-            uses[own], chance[own] = unpack(word_blobs[b])
+            uses[own], chance[own] = thaw(word_blobs[b])
         pair = np.log10(direct.astype(float) + up[p.context] * chance[p.word].astype(float))
         base = np.log10((uses + 1.0) / (totals["tokens"] + totals["words"] + 1.0))
         word = p.word[p.where]
