@@ -60,10 +60,12 @@ def frame(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def volume(df: DataFrame, column: str = "text") -> tuple[int, int]:
-    """Rows and bytes of a text column: one aggregate over the table."""
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    return int(n), int(size)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, spooled with a number for each row, and that column's name, which docs did not have."""
+    name = "row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return spool(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def pack_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._spark import frame, salted_lookup, spool
+from plumbline.llm._spark import salted_lookup, spool
 from plumbline.llm._words import SPACE, mix, pack
 
 #: Slots of the filter for each row, and the most slots it ever has: the bit map that tasks hold stays under 32 MB.
@@ -29,7 +29,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hexes.append(hashlib.sha256(text.encode().translate(None, SPACE)).hexdigest())
             sizes.append(len(text))
         key = np.array([int(x[:15], 16) for x in hexes], np.int64)
-        yield pa.record_batch({"doc_id": b["doc_id"], "text_sha256": pa.array(hexes, pa.string()), "size": pa.array(sizes, pa.int64()), "key": key})
+        yield pa.record_batch({"doc_id": b["doc_id"], "text_sha256": pa.array(hexes, pa.string()), "size": pa.array(sizes, pa.int64()), "key": key, "row": b["row"]})
 
 
 def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -90,8 +90,9 @@ def repeated_slots(hashed: DataFrame, slots: int) -> np.ndarray:
     return out
 
 
-def exact_dedup(docs: DataFrame, slots_per_row: int = SLOTS_PER_ROW, max_slots: int = MAX_SLOTS) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, row: str | None = None, slots_per_row: int = SLOTS_PER_ROW, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row (the column of that name that
+    numbers the rows of docs, or numbers given here).
 
     Texts are equal if identical once the characters space and U+0009 to U+000D are deleted; a null text is empty, and
     all empty texts are one group. The row with the most code points, then the smallest doc_id (null first), stays;
@@ -100,8 +101,9 @@ def exact_dedup(docs: DataFrame, slots_per_row: int = SLOTS_PER_ROW, max_slots:
     The first pass counts hashes in a filter of bounded size; the second sends on only rows all of whose slots were hit
     twice. The others cannot repeat and pass straight through without a shuffle.
     """
-    hashed = frame(docs).mapInArrow(_hash_rows, "doc_id long, text_sha256 string, size long, key long")
-    hashed = spool(hashed.withColumn("row", F.monotonically_increasing_id()), "hashed")
+    numbers = F.col(row) if row else F.monotonically_increasing_id()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), numbers.alias("row"))
+    hashed = spool(texts.mapInArrow(_hash_rows, "doc_id long, text_sha256 string, size long, key long, row long"), "hashed")
     rows = hashed.count()
     slots = BLOCK
     while slots < min(slots_per_row * rows, max_slots):
@@ -114,12 +116,12 @@ def exact_dedup(docs: DataFrame, slots_per_row: int = SLOTS_PER_ROW, max_slots:
             yield b.append_column("again", pa.array((twice.value[at // 8] >> (7 - at % 8) & 1).all(axis=0)))
 
     tested = hashed.mapInArrow(test, "doc_id long, text_sha256 string, size long, key long, row long, again boolean")
-    single = tested.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    single = tested.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row")
     again = tested.where("again").select("doc_id", "text_sha256", "size", "row")
     order = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")
     best = again.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     whole = salted_lookup(again, best, "text_sha256", "group_size")
-    return single.unionByName(whole.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"))
+    return single.unionByName(whole.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "row"))
 
 
 SQL = r"""
@@ -132,4 +134,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")

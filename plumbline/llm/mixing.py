@@ -91,10 +91,11 @@ def deal_blocks(targets: DataFrame, block_words: int, blocks_per_shard: int, see
     return blocks.groupBy("part").applyInPandas(members, "name string, block long, shard int")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, blocks_per_shard: int = BLOCKS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, row: str | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17, blocks_per_shard: int = BLOCKS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
     """The mix of docs as (placements, sizes).
 
-    sizes: row, doc_id, source, size, source_size, target for every row of docs (row numbers them).
+    sizes: row, doc_id, source, size, source_size, target for every row of docs. row: the column of that name that
+    numbers them, or numbers given here.
     placements: row, doc_id, source, copy, start, words, shard, place: words of the document from word start on, in its
     copy-th use, belong to that shard, to be sorted by place there.
 
@@ -105,10 +106,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     without words are placed nowhere. Equal rows are mixed as two documents; an empty table gives two empty tables.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
     # name: the source as a key that is never null
     name = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
-    sized = spool(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("name", name), "sized")
+    sized = spool(sized.withColumn("name", name), "sized")
     quota = F.least(F.col("source_size") * most, F.round("target").cast("long"))
     targets = source_targets(sized, weights, most).withColumn("quota", quota).withColumn("name", name)
     targets = spool(targets, "targets")

@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._spark import frame, spool
-from plumbline.llm._words import Words, raw
+from plumbline.llm._words import Words, ranges, raw
 
 #: Labelled rows that the index is fitted on: about so many, chosen by a hash of doc_id, however many there are.
 MAX_LABELLED = 20_000
-#: Terms of the index: those most associated with the label, by chi-square, of at least LEAST_CHI.
+#: Terms of the index: those most associated with label 1, by chi-square, of at least LEAST_CHI.
 MAX_TERMS = 2_000
 LEAST_CHI = 24.0
 LEAST_DOCS = 3
 STEMS = (4, 5, 6)
 NEIGHBOURS = 32
 BLOCK = 64
+#: Examples, at most twice as many, whose own votes calibrate the scores.
+CALIBRATED = 2_000
 EVIDENCE = 5
 SLICE_BYTES = 4 << 20
 
@@ -77,27 +79,27 @@ class Index:
     def search(self, term: np.ndarray, tf: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Place and cosine of the k nearest examples, exactly; ties by place. skip: a place to leave out.
 
-        Blocks are taken by falling bound, the sum of query weight times the block's largest weight, until no other
-        block can hold a nearer example than the k-th.
+        Blocks are taken by falling bound, the sum of query weight times the block's largest weight, a few and then ever
+        more at a time, until no other block can hold a nearer example than the k-th.
         """
         q = (1 + np.log(tf)) * self.idf[term]
         q /= np.sqrt((q**2).sum())
         bound = q @ self.most[term]
-        places, scores, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(places) >= k and bound[b] < kth - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term, q, strict=True):
-                a, z = self.cut[t * self.blocks + b], self.cut[t * self.blocks + b + 1]
-                score[self.at[a:z] - b * BLOCK] += w * self.weight[a:z]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                score[skip - b * BLOCK] = 0
-            new = np.flatnonzero(score > 0)
-            places, scores = np.concatenate([places, new + b * BLOCK]), np.concatenate([scores, score[new]])
-            best = np.lexsort((places, -np.round(scores, 9)))[:k]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        places, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order) and (len(places) < k or bound[order[at]] >= scores[-1] - 1e-9):
+            blocks = order[at : at + step]
+            cell = (term[:, None] * self.blocks + blocks).ravel()
+            n = self.cut[cell + 1] - self.cut[cell]
+            posting = np.repeat(self.cut[cell], n) + ranges(n)
+            place = self.at[posting]
+            new, which = np.unique(place[place != skip], return_inverse=True)
+            score = np.bincount(which, (np.repeat(np.repeat(q, len(blocks)), n) * self.weight[posting])[place != skip], len(new))
+            places, scores = np.concatenate([places, new]), np.round(np.concatenate([scores, score]), 9)
+            best = np.lexsort((places, -scores))[:k]
             places, scores = places[best], scores[best]
-            kth = scores[-1] if len(scores) else 0.0
+            at, step = at + step, step * 4
         return places, scores
 
     def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
@@ -110,7 +112,8 @@ class Index:
         back = np.zeros(int(example.max()) + 1 if len(example) else 0, np.int64)
         back[self.order] = np.arange(len(self.order))
         votes, labels = [], []
-        for e, a, z in _runs(example):
+        every = max(1, len(self.order) // CALIBRATED)
+        for e, a, z in list(_runs(example))[::every]:
             votes.append(self.vote(*self.search(term[a:z], tf[a:z], skip=int(back[e]))))
             labels.append(self.toxic[back[e]])
         pools: list[list[float]] = []
@@ -194,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     found = sample.mapInArrow(count, "term long, toxic long, docs long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     kept = []
     if 0 < n1 < n:
-        found = found.where((F.col("docs") >= LEAST_DOCS) & (F.col("docs") < n)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+        found = found.where((F.col("docs") >= LEAST_DOCS) & (F.col("docs") < n) & (a * n > size * n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
         kept = found.orderBy(F.desc("chi"), "term").limit(max_terms).collect()
     kept.sort(key=lambda r: r["term"] % 2**64)
     terms = np.array([r["term"] for r in kept], np.int64).view(np.uint64)
@@ -229,5 +232,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose score is below least."""
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
+
+    def keep(batches):
+        for b in batches:
+            for a, z in _slices(b["text"]):
+                part = b.slice(a, z - a)
+                yield part.filter(pa.array(index.value.score(part["text"])[0] < least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
