@@ -50,7 +50,7 @@ def render(r: dict) -> str:
 
 def changes(diff: dict) -> str:
     """A comparison before and after a recipe."""
-    lines = [f"{k}: {a} -> {b}" for k, (a, b) in diff.items() if k != "columns"]
+    lines = [f"{k}: {v[0]} -> {v[1]}" for k, v in diff.items() if k != "columns"]
     for c in diff["columns"]:
         moved = [f"{k} {stat(c[k][0]) if c[k][0] is not None else '—'} -> {stat(c[k][1]) if c[k][1] is not None else '—'}" for k in ("missingRate", "skewness", "outlierRate") if c[k][0] != c[k][1]]
         if moved:

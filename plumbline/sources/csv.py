@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -140,8 +141,18 @@ def serialize(names: Sequence[str], rows: Sequence[Sequence], delimiter: str = "
     return "".join(delimiter.join(map(cell, row)) + "\r\n" for row in [names, *rows])
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",", one_file: bool = True) -> None:
-    """df as CSV with a header; numbers as their shortest texts."""
-    cells = [number_text(F.nanvl(F.col(f"`{f.name}`").cast("double"), F.lit(None).cast("double"))).alias(f.name) if isinstance(f.dataType, T.NumericType) else F.col(f"`{f.name}`").cast("string") for f in df.schema.fields]
-    out = df.select(cells)
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(path, sep=delimiter, header=True, lineSep="\r\n", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
+    """df as one CSV file in a folder: a header, CRLF ends, numbers as their shortest texts, quotes only where they must be.
+
+    Lines are built as columns, so line feeds inside values stay as they are.
+    """
+
+    def cell(c):
+        special = F.rlike(c, F.lit(rf'[\r\n"]|{re.escape(delimiter)}'))
+        return F.coalesce(F.when(special, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c), F.lit(""))
+
+    numeric = lambda f: number_text(F.nanvl(F.col(f"`{f.name}`").cast("double"), F.lit(None).cast("double")))
+    cells = [cell(numeric(f) if isinstance(f.dataType, T.NumericType) else F.col(f"`{f.name}`").cast("string")) for f in df.schema.fields]
+    lines = df.select(F.concat_ws(delimiter, *cells).alias("value"))
+    top = df.sparkSession.createDataFrame([(serialize(df.columns, [], delimiter).removesuffix("\r\n"),)], "value string")
+    top.coalesce(1).union(lines).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
