@@ -12,9 +12,11 @@ from plumbline.llm._words import Words, ranges, raw
 
 #: Labelled rows that the index is fitted on: about so many, chosen by a hash of doc_id, however many there are.
 MAX_LABELLED = 20_000
-#: Terms of the index: those most associated with label 1, by chi-square, of at least LEAST_CHI.
+#: Terms of the index: those most associated with label 1, by chi-square, of at least LEAST_CHI, and of whose texts at
+#: least LEAST_SHARE have that label. Weaker ones would make everything a neighbour of everything.
 MAX_TERMS = 2_000
 LEAST_CHI = 24.0
+LEAST_SHARE = 0.3
 LEAST_DOCS = 3
 STEMS = (4, 5, 6)
 NEIGHBOURS = 32
@@ -174,14 +176,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             toxic = b["toxic"].to_numpy(zero_copy_only=False)
             for a, z in _slices(b["text"]):
                 words = Words(b["text"].slice(a, z - a), lower=True, letters=True, stems=STEMS)
-                docs_ = words.doc
-                codes = np.concatenate([words.hash, *words.stems])
-                pairs = np.unique(np.stack([codes, np.tile(docs_, 1 + len(STEMS)).astype(np.uint64)]), axis=1)
-                pairs = pairs[:, pairs[0] != 0]
-                term, first = np.unique(pairs[0], return_index=True)
-                own = (toxic[a:z] > 0)[pairs[1].astype(np.int64)].astype(np.int64)
+                # every word's codes side by side, so that texts ascend within each code once codes are sorted stably
+                codes = np.stack([words.hash, *words.stems], axis=1).ravel()
+                order = np.argsort(codes, kind="stable")
+                codes, text = codes[order], np.repeat(words.doc, 1 + len(STEMS))[order]
+                fresh = codes != 0
+                fresh[1:] &= (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])
+                codes, text = codes[fresh], text[fresh]
+                first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+                term, own = codes[first], (toxic[a:z] > 0)[text].astype(np.int64)
                 n1 = np.add.reduceat(own, first) if len(first) else own
-                size = np.diff(np.append(first, pairs.shape[1]))
+                size = np.diff(np.append(first, len(codes)))
                 yield pa.record_batch({"term": pa.array(term.view(np.int64)), "toxic": pa.array(n1), "docs": pa.array(size)})
 
     def collect(batches):
@@ -197,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     found = sample.mapInArrow(count, "term long, toxic long, docs long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     kept = []
     if 0 < n1 < n:
-        found = found.where((F.col("docs") >= LEAST_DOCS) & (F.col("docs") < n) & (a * n > size * n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+        found = found.where((F.col("docs") >= LEAST_DOCS) & (F.col("docs") < n) & (a * n > size * n1) & (a >= LEAST_SHARE * size)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
         kept = found.orderBy(F.desc("chi"), "term").limit(max_terms).collect()
     kept.sort(key=lambda r: r["term"] % 2**64)
     terms = np.array([r["term"] for r in kept], np.int64).view(np.uint64)
