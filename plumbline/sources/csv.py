@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.formats import number
+from plumbline.functions.ship import ship
 from plumbline.functions.text import number_text
 from plumbline.operators import limits as L
 
@@ -95,6 +96,7 @@ def parse(text: str, delimiter: str | None = None) -> tuple[list[str], list[list
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, max_bytes: int | None = L.FILE_BYTES) -> tuple[DataFrame, dict]:
     """A CSV file as text columns with a row number row_id, and {encoding, delimiter}. Parsed on an executor, as one whole."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path)
     if max_bytes is not None and (files.agg(F.max("length")).first()[0] or 0) > max_bytes:
         raise SourceError("FILE_TOO_LARGE", f"more than {max_bytes} bytes")
