@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.ship import shipped
 from plumbline.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from plumbline.llm._spark import numbered, spool
 
 
+@shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator scores 0.5 or more go."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@shipped
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal texts the longest stays, then the smallest doc_id."""
     rows, row = numbered(docs)
@@ -21,6 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(kept, rows[row] == kept["kept_row"], "left_semi").select(docs.columns)
 
 
+@shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document of the smallest doc_id stays (null last)."""
     rows, row = numbered(docs)
@@ -30,6 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(first, rows[row] == first["kept_row"], "left_semi").select(docs.columns)
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix uses them, in the order of its shards. Where it uses a part, the text is cut to that."""
     rows, row = numbered(docs)
@@ -46,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return used.select([new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
+@shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
     return packing.pack_documents(docs)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.functions.ship import shipped
 from plumbline.llm import exact_dedup, hamming_search, html_extract, jaccard_join, language_model, mixing, packing, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "op1_substring_dedup": substring_dedup.query,
         "op2_toxicity": toxicity.query,
         "op3_mixing": mixing.query,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": exact_dedup.query,
         "op10_hamming_search": hamming_search.query,
     }
+    return {name: shipped(fn) for name, fn in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
