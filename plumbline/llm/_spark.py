@@ -17,15 +17,22 @@ from plumbline.llm._words import raw
 
 #: Bytes of text that one group task of an operator holds at a time (a single longer document still makes one group).
 GROUP_BYTES = 6 << 20
+#: Edges that one task holds to find their components.
+LOCAL_EDGES = 1_000_000
+
+
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    return _own_dirs[app]
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -164,35 +171,49 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for the nodes of edges (a, b).
 
-    Alternates large-star and small-star steps until nothing changes. Every partition first replaces its own edges by
-    the stars of their local components, so that a large group comes down to one edge per node.
+    Every task first replaces its own edges, LOCAL_EDGES at most, by the stars of their local components: a large group
+    comes down to one edge per node. Once all edges fit one task, that ends it; else large-star and small-star steps
+    alternate until nothing changes.
     """
-    spark = edges.sparkSession
 
     def local(batches):
-        kept = [x for x in batches if x.num_rows]
-        if kept:
-            t = pa.Table.from_batches(kept)
-            node, low = union_find(t["a"].to_numpy(), t["b"].to_numpy())
-            far = node != low
-            yield from pa.table({"a": node[far], "b": low[far]}).to_batches()
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= LOCAL_EDGES:
+                yield from stars(held)
+                held, n = [], 0
+        if n:
+            yield from stars(held)
+
+    def stars(held):
+        t = pa.Table.from_batches(held)
+        node, low = union_find(t["a"].to_numpy(), t["b"].to_numpy())
+        far = node != low
+        return pa.table({"a": node[far], "b": low[far]}).to_batches()
 
     def tidy(df):
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
 
-    now = spool(tidy(edges).mapInArrow(local, "a long, b long").distinct(), "edges")
+    def digest(df):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = spool(tidy(edges).mapInArrow(local, "a long, b long"), "edges")
+    seen = digest(now)
     for _ in range(max_rounds):
+        if seen[0] <= LOCAL_EDGES:
+            now = spool(now.coalesce(1).mapInArrow(local, "a long, b long"), "edges")
+            break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = tidy(large.union(low.select("a", F.col("m").alias("b"))).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        after = spool(tidy(small).mapInArrow(local, "a long, b long").distinct(), "edges")
-        digest = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        done = digest(after) == digest(now)
-        now = after
-        if done:
+        now = spool(tidy(small).mapInArrow(local, "a long, b long").distinct(), "edges")
+        before, seen = seen, digest(now)
+        if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")
