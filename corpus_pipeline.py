@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ship import shipped
 from plumbline.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from plumbline.llm._spark import numbered, spool
+from plumbline.llm._spark import numbered, spool, staged
 
 
 @shipped
+@staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator scores 0.5 or more go."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @shipped
+@staged
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal texts the longest stays, then the smallest doc_id."""
     rows, row = numbered(docs)
@@ -25,6 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 @shipped
+@staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document of the smallest doc_id stays (null last)."""
     rows, row = numbered(docs)
@@ -35,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 @shipped
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix uses them, in the order of its shards. Where it uses a part, the text is cut to that."""
     rows, row = numbered(docs)
@@ -52,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 @shipped
+@staged
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
     return packing.pack_documents(docs)

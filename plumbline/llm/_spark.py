@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -47,16 +48,41 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete what spool() wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
+_of_stage: list[tuple[SparkSession, str]] = []
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may be gone; the folder is scratch space
-            return
+            tables.clear()
+
+
+def release() -> None:
+    """Delete what spool() wrote in this process."""
+    _delete(_of_stage)
+    _delete(_written)
+
+
+def staged(fn: Callable) -> Callable:
+    """A pipeline stage, whose result is written before the next stage is called: that one first deletes the tables that
+    this one spooled on its way."""
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        _delete(_of_stage)
+        n = len(_written)
+        try:
+            return fn(*args, **kwargs)
+        finally:
+            _of_stage.extend(_written[n:])
+            del _written[n:]
+
+    return run
 
 
 atexit.register(release)
