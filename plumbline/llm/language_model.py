@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._spark import answer_groups, map_groups, pack_groups, spool
-from plumbline.llm._words import Words, freeze, mix, thaw
+from plumbline.llm._words import Words, coarse, freeze, mix, thaw
 
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 TOKENS_PER_BUCKET = 2_000_000
 END, BEGIN = (int(x) for x in mix(np.array([101, 202], np.uint64)))
 FOLDS, HELD = 7, 2
@@ -118,21 +118,29 @@ class Pairs:
         self.per_doc = np.diff(words.first) + 1
         self.first = np.concatenate([[0], np.cumsum(self.per_doc)])
         self.token = np.full(n + docs, END, np.uint64)
+        words.start = words.end = words.data = None  # the largest arrays: not needed any more
         self.token[np.arange(n) + words.doc] = words.hash
         context = np.full(n + docs, BEGIN, np.uint64)
         context[1:] = self.token[:-1]
         context[self.first[:-1]] = BEGIN
         self.held = np.array([zlib.crc32(("" if x is None else str(x)).encode()) % FOLDS == HELD for x in rows["doc_id"].to_pylist()], bool)
         train = np.repeat(~self.held, self.per_doc)
+        del words
         self.words, of = np.unique(self.token, return_inverse=True)
+        of = of.astype(np.int32)
         contexts, c = np.unique(context, return_inverse=True)
+        c = c.astype(np.int32)
+        del context, self.token
         bucket = ((contexts >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((contexts, bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        keys, self.where = np.unique(place[c] * len(self.words) + of, return_inverse=True)
+        keys, where = np.unique(place[c] * len(self.words) + of, return_inverse=True)
+        del c, of
+        self.where = where.astype(np.int32)
+        del where
         self.count = np.bincount(self.where, train, len(keys)).astype(np.int64)
-        self.context, self.word = keys // max(1, len(self.words)), keys % max(1, len(self.words))
+        self.context, self.word = (x.astype(np.int32) for x in np.divmod(keys, max(1, len(self.words))))
         self.contexts, self.bucket = contexts[order], bucket[order]
 
     def parts(self):
@@ -206,7 +214,7 @@ def _restaurants(word_buckets: int, seed: int):
             out["g"].append(g)
             out["kind"].append(1)
             out["bucket"].append(bucket)
-            out["blob"].append(freeze(every[which[z : z + pairs]], up[c[a : a + len(p[0])]]))
+            out["blob"].append(freeze(coarse(every[which[z : z + pairs]]), coarse(up[c[a : a + len(p[0])]])))
             a, z = a + len(p[0]), z + pairs
         uses, served = np.bincount(dish, n, len(words)), np.bincount(dish, tables, len(words))
         known = np.flatnonzero(uses)
@@ -216,7 +224,7 @@ def _restaurants(word_buckets: int, seed: int):
             out["g"].append(-1)
             out["kind"].append(0)
             out["bucket"].append(b)
-            out["blob"].append(freeze(words[own], uses[own].astype(np.uint32 if uses.max() < 2**32 else np.uint64), served[own].astype(np.float32)))
+            out["blob"].append(freeze(words[own], uses[own].astype(np.uint32 if uses.max() < 2**32 else np.uint64), coarse(served[own])))
         return pa.table({"g": pa.array(out["g"], pa.int64()), "kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
     return run
@@ -276,7 +284,7 @@ def _root(totals: dict, seed: int):
             found = at < len(words)
             found[found] = words[at[found]] == own[found]
             at = np.where(found, at, len(words))
-            out.append(freeze(uses[at], chance[at]))
+            out.append(freeze(uses[at].astype(np.uint32 if uses.max() < 2**32 else np.uint64), coarse(chance[at])))
         return pa.table({"g": asked["g"], "kind": pa.array([2] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
     return run
