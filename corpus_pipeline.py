@@ -29,9 +29,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 @staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest doc_id stays (null last)."""
+    """Of each component of near copies (five words, a similarity of 0.8 or more) the document of the smallest doc_id stays (null last)."""
     rows, row = numbered(docs)
-    members, _ = jaccard_join.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    members, _ = jaccard_join.jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80)
     ids = rows.select(F.col(row).alias("own"), F.col("doc_id").alias("id"))
     first = members.join(ids, members["doc_id"] == ids["own"]).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("own"))).getField("own").alias("kept_row"))
     return rows.join(first, rows[row] == first["kept_row"], "left_semi").select(docs.columns)

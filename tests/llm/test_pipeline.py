@@ -49,3 +49,32 @@ def test_stages(spark, tmp_path):
         lengths[r["sequence_id"]] += r["length"]
     assert max(lengths.values()) <= 4096 and {r["doc_id"] for r in seen[4]} == {r["doc_id"] for r in seen[3]}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_near_copies_at_five_words(spark):
+    """The stage against a brute-force join at 5 words and 0.8: some links fail 4 words and 0.85, some the other way round."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    texts = []
+    for k in range(40):
+        base = say(100)
+        texts += [base, base + say(12 + k % 20)]
+        edited = list(base)
+        for at in range(3 + k % 7, 100, 30 + k):
+            edited[at] = f"edit{k}"
+        texts.append(edited)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+
+    def linked(n, percent):
+        sets = {k: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for k, t in enumerate(texts)}
+        return {(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+    links = linked(5, 80)
+    assert links - linked(4, 85)
+    first = {k: k for k in range(len(texts))}
+    for _ in texts:
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(first.values()))
