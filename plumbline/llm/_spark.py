@@ -20,6 +20,9 @@ from plumbline.llm._words import raw
 GROUP_BYTES = 6 << 20
 #: Edges that one task holds to find their components.
 LOCAL_EDGES = 1_000_000
+#: A row's id in 63 bits: its partition (20), the number of its group there (19), its place in the group (24).
+PART_BITS, MADE_BITS, PLACE_BITS = 20, 19, 24
+GROUP_ROWS = 1 << 20
 
 
 _own_dirs: dict[str, str] = {}
@@ -101,34 +104,43 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return spool(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+def group_id(part: int, made: int) -> int:
+    if part >> PART_BITS or made >> MADE_BITS:
+        raise OverflowError(f"group {made} of partition {part}: row ids hold {1 << MADE_BITS} groups of {1 << PART_BITS} partitions")
+    return (part << MADE_BITS) + made
+
+
 def pack_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """g, rows, bytes, blob: the rows of docs in groups of about group_bytes of text, as they are read, without a shuffle.
+    """g, rows, bytes, blob: the rows of docs in groups of about group_bytes of text, GROUP_ROWS rows at most, as they are read,
+    without a shuffle.
 
     A blob is a compressed Arrow stream of doc_id and text (see unpack). The table is spooled, so g and the place of a
     row in its group are fixed from then on: later steps read it again, and replies find their rows by them.
     """
 
     def pack(batches):
-        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, made, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush():
-            nonlocal made, held, size
+            nonlocal made, held, size, rows
             t = pa.Table.from_batches(held)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(t.combine_chunks())
-            out = {"g": [(part << 32) + made], "rows": [t.num_rows], "bytes": [size], "blob": [sink.getvalue().to_pybytes()]}
-            made, held, size = made + 1, [], 0
+            out = {"g": [group_id(part, made)], "rows": [t.num_rows], "bytes": [size], "blob": [sink.getvalue().to_pybytes()]}
+            made, held, size, rows = made + 1, [], 0, 0
             return pa.RecordBatch.from_pydict(out, pa.schema([("g", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("blob", pa.binary())]))
 
         for b in batches:
             upto, a = raw(b["text"])[1], 0
             while a < b.num_rows:
                 z = max(a + 1, int(np.searchsorted(upto, upto[a] + group_bytes - size, "right")) - 1)
+                z = min(z, a + GROUP_ROWS - rows)
                 held.append(b.slice(a, z - a))
                 size += int(upto[z] - upto[a])
+                rows += z - a
                 a = z
-                if size >= group_bytes or a < b.num_rows:
+                if size >= group_bytes or rows >= GROUP_ROWS or a < b.num_rows:
                     yield flush()
         if held:
             yield flush()

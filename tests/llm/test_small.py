@@ -241,6 +241,28 @@ def test_jaccard_chains(spark):
         assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.join(df, frequent=frequent).collect()) == near(rows)
 
 
+def test_jaccard_in_many_partitions(spark):
+    """Row ids stay apart and in 64 bits whatever the number of partitions; a partition beyond them fails clearly."""
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(4)]
+    rows = [(k, base[k % 4] + f" t{k // 4}" if k in (0, 1, 2, 128, 129, 256, 257, 258, 299) else f"only {k} of it") for k in range(300)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 300), "doc_id long, text string")
+    groups = {r["g"] for r in _spark.pack_groups(df).select("g").collect()}
+    assert len(groups) == 300 and max(groups) >> _spark.MADE_BITS == 299 and max(groups) << _spark.PLACE_BITS < 2**63
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.join(df).collect()) == near(rows)
+    assert _spark.group_id(2**20 - 1, 2**19 - 1) << _spark.PLACE_BITS < 2**63
+    for part, made in ((2**20, 0), (0, 2**19)):
+        with pytest.raises(OverflowError, match="row ids hold"):
+            _spark.group_id(part, made)
+
+
+def test_groups_hold_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(_spark, "GROUP_ROWS", 7)
+    df = spark.createDataFrame([(k, None) for k in range(50)], "doc_id long, text string").repartition(2)
+    groups = _spark.pack_groups(df).collect()
+    assert max(r["rows"] for r in groups) <= 7 and sorted(x for r in groups for x in _spark.unpack(r["blob"])["doc_id"].to_pylist()) == list(range(50))
+
+
 def test_language_model(docs, none):
     got = language_model.score(docs).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
