@@ -28,8 +28,8 @@ WEAK = {
     "mixed": (re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])"), 0),
 }
 KINDS = [*BASE, *WEAK]
-#: A weak candidate must carry this many bits a character.
-LEAST_ENTROPY = 3.5
+#: A long mixed token must carry this many bits a character; the form of the other kinds already marks a credential.
+LEAST_ENTROPY = {"mixed": 3.5}
 #: A value held by so many owners, or in so many repositories, is a widely copied example.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 10
@@ -54,7 +54,7 @@ def weak_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[s
     for kind, (pattern, group) in WEAK.items():
         for m in pattern.finditer(text):
             s, e = m.span(group)
-            if entropy(m[group]) >= LEAST_ENTROPY and all(e <= a or b <= s for a, b in held):
+            if entropy(m[group]) >= LEAST_ENTROPY.get(kind, 0.0) and all(e <= a or b <= s for a, b in held):
                 held.append((s, e))
                 out.append((kind, s, e, m[group]))
     return out

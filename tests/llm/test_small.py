@@ -320,6 +320,15 @@ def test_secrets(spark, none):
     assert secrets.scan(df).count() == len(rows) and secrets.scan(none).count() == 0
 
 
+def test_short_secrets_in_addresses(spark):
+    """Ownership alone decides on credentials whose form marks them, however short."""
+    rows = [(1, "db postgres://app:x7Kq2z@db.example/main", "a"), (2, "ftp://me:hunter22@files.example", "b"), (3, "xoxb-1111111111", "c")]
+    rows += [(10 + k, "see mysql://root:secret@localhost/test", f"s{k}") for k in range(3)] + [(20, "mixed a1a1a1a1a1a1a1a1a1a1a1a1a1a1", "d")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[k]["spans"] for k in (1, 2, 3)] == ["address:18:24", "address:9:17", "prefixed:0:15"]
+    assert (got[10]["spans"], got[10]["n_example"], got[20]["spans"], got[20]["n_example"]) == ("", 1, "", 0)
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
