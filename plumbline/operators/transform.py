@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,12 @@ from plumbline.operators.recipe import STEP_ORDER
 from plumbline.operators.stats import class_distribution, iqr_bounds
 from plumbline.operators.views import View, views
 
+#: Ordinal levels numbered by one task, and the most ranges of them.
+LEVELS_A_RANGE = 50_000
+MOST_RANGES = 200
+#: A mapping of more ordinal levels than this is not listed in the parameters; all levels are coded all the same.
+MAPPED_LEVELS = 100_000
+
 
 @dataclass
 class Fit:
@@ -105,6 +111,26 @@ def log1p(df: DataFrame, step: dict, fit: Fit) -> DataFrame:
     return _replace(df, v.name, F.log1p(v.number))
 
 
+def _codes(df: DataFrame, value: Column) -> tuple[DataFrame, int]:
+    """level, code for every distinct value, and their number. A code is the rank from 0 in order of UTF-16 code units, which are
+    the order of big-endian UTF-16: levels are numbered in ranges apart, then offset."""
+    levels = df.where(value.isNotNull()).select(value.alias("level")).distinct().withColumn("units", F.encode("level", "UTF-16BE"))
+    n = levels.count()
+    # bounds are levels chosen by hash, so a level's range is the same whenever it is read again
+    ranges = min(MOST_RANGES, -(-n // LEVELS_A_RANGE))
+    bounds = []
+    if ranges > 1:
+        some = levels.where(F.pmod(F.xxhash64("level"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 20 * ranges / n)))
+        bounds = sorted(bytes(r[0]) for r in some.select("units").collect())[::20][1:]
+    bound = F.array(*(F.lit(x) for x in bounds)) if bounds else None
+    levels = levels.withColumn("part", F.lit(0) if bound is None else F.size(F.filter(bound, lambda x: x <= F.col("units"))))
+    placed = levels.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("units")))
+    sums = levels.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    table = placed.join(F.broadcast(before), "part")  # one row a range
+    return table.select("level", (F.col("before") + F.col("place") - 1).cast("double").alias("code")), n
+
+
 def encode(df: DataFrame, step: dict, fit: Fit) -> DataFrame:
     v, method = _view(df, step["column"]), step.get("method") or "onehot"
     value = v.text
@@ -114,13 +140,16 @@ def encode(df: DataFrame, step: dict, fit: Fit) -> DataFrame:
         # a table of levels may be large: Spark broadcasts it only if it is known to be small
         joined = df.withColumn("_level", value).join(counts, F.col("_level") == F.col("level"), "left")
         return joined.select([F.col("uses").alias(v.name) if n == v.name else F.col(f"`{n}`") for n in df.columns])
-    found = [r[0] for r in df.select(value.alias("x")).where("x is not null").distinct().limit(L.ONE_HOT_LEVELS + 1 if method == "onehot" else 100_000).collect()]
-    levels = sorted(found, key=lambda s: s.encode("utf-16-be"))
     if method == "ordinal":
-        fit.params["mapping"] = {x: k for k, x in enumerate(levels)}
-        table = df.sparkSession.createDataFrame([(x, float(k)) for k, x in enumerate(levels)], "level string, code double")
+        table, n = _codes(df, value)
+        if n > MAPPED_LEVELS:
+            fit.params["levels"] = n
+        else:
+            fit.params["mapping"] = {r["level"]: int(r["code"]) for r in table.orderBy("code").collect()}
         joined = df.withColumn("_level", value).join(table, F.col("_level") == F.col("level"), "left")
         return joined.select([F.col("code").alias(v.name) if n == v.name else F.col(f"`{n}`") for n in df.columns])
+    found = [r[0] for r in df.select(value.alias("x")).where("x is not null").distinct().limit(L.ONE_HOT_LEVELS + 1).collect()]
+    levels = sorted(found, key=lambda s: s.encode("utf-16-be"))
     if len(levels) > L.ONE_HOT_LEVELS:
         fit.note = f"not applied: more than {L.ONE_HOT_LEVELS} levels"
         return df

@@ -170,6 +170,17 @@ def test_transforms(spark):
     assert [f.note for f in log] == ["the column is gone", "no numbers", "unknown step"]
 
 
+def test_ordinal_codes_every_level(spark, monkeypatch):
+    monkeypatch.setattr(transform, "LEVELS_A_RANGE", 20_000)
+    n = 100_500
+    df = spark.range(n).selectExpr("id", "concat('level ', id % 10, ' ', id) AS x").unionAll(spark.createDataFrame([(n, "\U0001f642"), (n + 1, "\uff01"), (n + 2, None)], "id long, x string"))
+    out, log = transform.apply(df, [{"op": "encode", "column": "x", "method": "ordinal"}])
+    got = {r["id"]: r["x"] for r in out.collect()}
+    levels = sorted(((f"level {k % 10} {k}", k) for k in range(n)), key=lambda x: x[0])
+    want = {k: float(i) for i, (_, k) in enumerate(levels)} | {n: float(n), n + 1: float(n + 1), n + 2: None}
+    assert got == want and log[0].params == {"levels": n + 2}
+
+
 def test_steps_run_in_order(spark):
     _, log = run(spark, {"op": "scale", "column": "v", "method": "minmax"}, {"op": "impute", "column": "v"})
     assert [f.op for f in log] == ["impute", "scale"]
