@@ -41,10 +41,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str]]]:
-    """Blocks (path, noise, main, text) in page order, and styles (path, its children's keys in order)."""
+def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str, bool]]]:
+    """Blocks (path, noise, main, text) in page order, and styles (path, its children's keys in order, main)."""
     blocks: list[tuple[str, bool, bool, str]] = []
-    styles: list[tuple[str, str]] = []
+    styles: list[tuple[str, str, bool]] = []
     # of each open block: tag, path, noise, main, keys of its children
     stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
     pieces: list[str] = []
@@ -59,8 +59,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
     def close(depth: int) -> None:
         flush()
         while len(stack) > depth:
-            _, path, _, _, children = stack.pop()
-            styles.append((path, " ".join(children)))
+            _, path, _, main, children = stack.pop()
+            styles.append((path, " ".join(children), main))
 
     def close_open(tags: set[str], stop: set[str]) -> None:
         found = 0
@@ -155,7 +155,7 @@ def _fold(children: str) -> str:
     return " ".join(out)
 
 
-_PARSED = "page_id long, url string, host string, blocks array<struct<path:string,noise:boolean,main:boolean,text:string>>, features array<struct<path:string,feature:long>>, styles array<struct<path:string,style:long>>"
+_PARSED = "page_id long, url string, host string, article long, blocks array<struct<path:string,noise:boolean,main:boolean,text:string>>, features array<struct<path:string,feature:long,main:boolean>>, styles array<struct<path:string,style:long,main:boolean>>"
 
 
 def _parse_pages(batches):
@@ -165,17 +165,21 @@ def _parse_pages(batches):
     for b in batches:
         for lo in range(0, b.num_rows, 200):
             part = b.slice(lo, 200)
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], [], [], []]
             for page in part["html"].to_pylist():
                 blocks, styles = parse(page or "")
                 rows[0].append([{"path": p, "noise": x, "main": m, "text": t} for p, x, m, t in blocks])
-                rows[1].append([{"path": p, "feature": f} for p, f in {(p, code(t)) for p, x, _, t in blocks if not x}])
-                rows[2].append([{"path": p, "style": s} for p, s in {(p, code(_fold(c))) for p, c in styles if p}])
+                own = [x for p, noise, m, t in blocks if m and not noise for x in (p, t)]
+                within = {p for p, _, m in styles if m}
+                rows[1].append([{"path": p, "feature": f, "main": p in within} for p, f in {(p, code(t)) for p, x, _, t in blocks if not x}])
+                rows[2].append([{"path": p, "style": s, "main": p in within} for p, s in {(p, code(_fold(c))) for p, c, _ in styles if p}])
+                rows[3].append("\0".join(own) if own else None)
             hosts = [host_of(u or "") for u in part["url"].to_pylist()]
+            articles = [None if x is None else code(f"{h}\0{x}") for h, x in zip(hosts, rows[3], strict=True)]
             yield pa.record_batch({
-                "page_id": part["page_id"], "url": part["url"], "host": pa.array(hosts, pa.string()),
+                "page_id": part["page_id"], "url": part["url"], "host": pa.array(hosts, pa.string()), "article": pa.array(articles, pa.int64()),
                 "blocks": pa.array(rows[0], of(path, ("noise", pa.bool_()), ("main", pa.bool_()), ("text", pa.string()))),
-                "features": pa.array(rows[1], of(path, ("feature", pa.int64()))), "styles": pa.array(rows[2], of(path, ("style", pa.int64()))),
+                "features": pa.array(rows[1], of(path, ("feature", pa.int64()), ("main", pa.bool_()))), "styles": pa.array(rows[2], of(path, ("style", pa.int64()), ("main", pa.bool_()))),
             })
 
 
@@ -213,7 +217,12 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     Content: a text that n of a node's m pages share has entropy log n / log m; a node's importance is 1 less the mean of
     its texts' entropies. Presentation: the entropy, to the base m, of the shares of its child sequences. Both are sums
     of counts, so hosts of any size are aggregated before a shuffle; only a host's distinct paths meet in one task.
+    Pages of a host with equal main parts count once within them: a copied article is no template.
     """
+    copied = parsed.where("article is not null").groupBy("article").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copied = spool(copied, "copied")
+    outside = lambda c: F.when(F.col("first") < F.col("row"), F.filter(c, lambda x: ~x["main"])).otherwise(F.col(c)).alias(c)
+    parsed = salted_lookup(parsed, copied, "article", "copies", salt="row").select("host", outside("features"), outside("styles"))
     pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     features = parsed.select("host", F.explode("features").alias("f")).groupBy("host", F.col("f.path").alias("path"), F.col("f.feature").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
     content = features.groupBy("host", "path").agg(F.avg(F.log("n")).alias("shared"))
@@ -240,21 +249,35 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 def _template(block: dict, low: list[str]) -> bool:
     """Whether the block lies on a branch of low importance. Within the main part only branches that a name or a
-    container sets apart count: plain headings, paragraphs, lists and tables there are content even if they repeat."""
+    container sets apart count (see also _minor): plain headings, paragraphs, lists and tables there are content even if they repeat."""
     for path in low:
         if block["path"] == path or block["path"].startswith(path + ">"):
-            key = path.rpartition(">")[2]
-            if not block["main"] or "." in key or key in ("div", "section"):
+            if not block["main"] or _apart(path):
                 return True
     return False
 
 
+def _apart(path: str) -> bool:
+    key = path.rpartition(">")[2]
+    return "." in key or key in ("div", "section")
+
+
+def _minor(kept: list[dict], low: list[str]) -> list[str]:
+    """low without the branches that hold most of the page's main part, and what lies below them: that is its content,
+    even if nearly copied."""
+    size = sum(len(x["text"]) for x in kept if x["main"])
+    under = lambda path, top: path == top or path.startswith(top + ">")
+    most = [p for p in low if _apart(p) and 2 * sum(len(x["text"]) for x in kept if x["main"] and under(x["path"], p)) > size] if size else []
+    return [p for p in low if not any(under(p, top) for top in most)]
+
+
 def _text(batches):
     for b in batches:
         texts = []
         for blocks, low in zip(b["blocks"].to_pylist(), b["low"].to_pylist(), strict=True):
             kept = [x for x in blocks or [] if not x["noise"]]
             kept = [x for x in kept if x["main"]] or kept
+            low = _minor(kept, low or [])
             rest = [x for x in kept if not _template(x, low)] if low else kept
             texts.append("\n".join(x["text"] for x in rest or kept))
         yield pa.record_batch({"page_id": b["page_id"], "url": b["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
@@ -272,8 +295,8 @@ def extract(pages: DataFrame) -> DataFrame:
     empty table gives an empty result; other columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = spool(rows.mapInArrow(_parse_pages, _PARSED), "parsed")
-    low = spool(style_tree(parsed.select("host", "features", "styles")), "styles")
+    parsed = spool(rows.mapInArrow(_parse_pages, _PARSED).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    low = spool(style_tree(parsed.select("row", "host", "article", "features", "styles")), "styles")
     known = salted_lookup(parsed.select("page_id", "url", "host", "blocks"), low, "host", "pages", salt="page_id")
     return known.select("page_id", "url", "blocks", "low").mapInArrow(_text, "page_id long, url string, text string, n_chars long")
 

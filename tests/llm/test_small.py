@@ -411,6 +411,19 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_copied_articles(spark):
+    """Bodies in containers stay whole if all pages of a host copy an article, or nearly; a container that repeats in different articles goes."""
+    page = "<body><nav>Menu</nav><{0}><h1>Head</h1><div class=intro><p>Few words</p></div><div class=body><p>The words of the article</p><section>and some more</section></div>{1}</{2}></body>"
+    rows = [(k, "http://a.example/", page.format("article", "", "article")) for k in range(6)] + [(10 + k, "http://b.example/", page.format("div role=main", "", "div")) for k in range(6)]
+    rows += [(20 + k, "http://c.example/", page.format("article", f"<p>{k}", "article")) for k in range(6)]
+    rows += [(30 + k, "http://d.example/", f"<article><h1>Head {k}</h1><p>Long own words of page {k}, not of others</p><div class=box>Read on</div></article>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(6):
+        assert got[k] == got[10 + k] == "Head\nFew words\nThe words of the article\nand some more"
+        assert "The words of the article\nand some more" in got[20 + k]
+        assert got[30 + k] == f"Head {k}\nLong own words of page {k}, not of others"
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randint(0, 500), rng.randint(0, 500)) for _ in range(250)] + [(900, x) for x in range(901, 960)] + [(k, k + 1) for k in range(2000, 2080)]
