@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -148,6 +150,31 @@ def pack_groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     return spool(frame(docs).mapInArrow(pack, "g long, rows long, bytes long, blob binary"), "groups")
 
 
+def trim() -> None:
+    """Give the memory that this Python worker has freed back to the system: another worker or the JVM may need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """fn of one table or of two, after which freed memory goes back to the system."""
+
+    def one(t):
+        try:
+            return fn(t)
+        finally:
+            trim()
+
+    def two(left, right):
+        try:
+            return fn(left, right)
+        finally:
+            trim()
+
+    return one if len(inspect.signature(fn).parameters) == 1 else two
+
+
 def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
@@ -161,6 +188,8 @@ def map_groups(groups: DataFrame, fn: Callable[[int, pa.Table], pa.Table | None]
                 out = fn(g, unpack(blob.as_buffer()))
                 if out is not None:
                     yield from out.to_batches()
+                del out
+                trim()
 
     return groups.select("g", "blob").mapInArrow(run, schema)
 
@@ -169,12 +198,12 @@ def answer_groups(groups: DataFrame, replies: DataFrame, fn: Callable[[int, pa.T
     """fn(g, rows, replies) of every group with the replies that carry its g."""
     empty = pa.schema([])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left, right):
         if not left.num_rows:
             return empty.empty_table()
         return fn(left["g"][0].as_py(), unpack(left["blob"][0].as_buffer()), right)
 
-    return groups.select("g", "blob").groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(run, schema)
+    return groups.select("g", "blob").groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lean(run), schema)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, per_task: int = 20_000, salt: str = "doc_id") -> DataFrame:

@@ -9,18 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._spark import answer_groups, map_groups, pack_groups, spool
-from plumbline.llm._words import Words, coarse, freeze, mix, thaw
+from plumbline.llm._spark import answer_groups, lean, map_groups, pack_groups, spool
+from plumbline.llm._words import Words, freeze, mix, ranges, short, thaw
 
 GROUP_BYTES = 8 << 20
 TOKENS_PER_BUCKET = 2_000_000
 END, BEGIN = (int(x) for x in mix(np.array([101, 202], np.uint64)))
 FOLDS, HELD = 7, 2
 STRENGTH = 1.0
-BURN_IN, SAMPLES, MOVES = 3, 3, 2
-#: A type with more customers than this is seated in blocks, by its counts alone.
+BURN_IN, SAMPLES = 3, 3
+#: A type with more customers is drawn anew in blocks of a sixteenth of its customers, not from its exact conditional.
 MOST_SEATS = 256
-REPLY = "g long, kind int, bucket int, blob binary"
+#: Parts of a restaurant's types that a sweep samples one after the other; types of one part see the tables as before it.
+PARTS = 4
+REPLY = "g long, kind int, bucket int, d double, blob binary"
 
 
 def discount(counts: np.ndarray) -> float:
@@ -29,81 +31,78 @@ def discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
+def log_stirling(most: int, d: float) -> np.ndarray:
+    """[n, t]: log of the generalised Stirling number of n customers at t tables, the weight of all their seatings."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, most + 1)
+    for n in range(most):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = out[n, 1:] + np.where(t <= n, np.log(np.maximum(n - t * d, 1e-300)), -np.inf)
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], stay)
+    return out
+
+
 class Seating:
     """Customers of many restaurants at tables, one dish a table, sampled given the dishes' parent probabilities.
 
-    A type is a dish in a restaurant, with count customers. It opens a table with a probability in proportion to
-    (strength + d * tables of the restaurant) * parent, or joins one of n customers in proportion to n - d.
+    A type is a dish in a restaurant, with count customers. Seatings of the same number of tables lead to the same
+    predictions, so the state is the number of tables of each type. A Gibbs step draws it for all customers of a type at
+    once, given all other types: t tables weigh S(count, t) * parent**t * the product of (strength + d * m) over the m
+    tables of the restaurant from those of the others on.
     """
 
-    def __init__(self, restaurant: np.ndarray, count: np.ndarray, parent: np.ndarray, d: float, strength: float, rng: np.random.Generator):
+    def __init__(self, restaurant: np.ndarray, count: np.ndarray, d: float, strength: float, rng: np.random.Generator):
         self.restaurant, self.count, self.d, self.strength, self.rng = restaurant, count, d, strength, rng
         self.restaurants = int(restaurant.max(initial=-1)) + 1
         self.tables = np.ones(len(count), np.int64)
-        # customers of the types that are seated one by one; a customer may name two tables
-        self.small = np.flatnonzero((count > 1) & (count <= MOST_SEATS))
-        size = count[self.small]
-        self.begin = np.cumsum(size) - size
-        total = int(size.sum())
-        self.at = 2 * np.repeat(self.begin, size)  # all at the first customer's table to begin with
-        self.held = np.zeros(2 * total, np.int64)
-        self.held[2 * self.begin] = size
-        self._seat(parent)
+        small = np.flatnonzero((count > 1) & (count <= MOST_SEATS))
+        self.small = [small[k::PARTS] for k in range(PARTS)]
+        large = np.flatnonzero(count > MOST_SEATS)
+        self.large = [large[k::PARTS] for k in range(PARTS)]
+        self.stirling = log_stirling(int(count[small].max(initial=1)), d)
 
     def totals(self) -> np.ndarray:
-        return np.bincount(self.restaurant, self.tables, self.restaurants)
-
-    def _open(self, types: np.ndarray, n: np.ndarray, tables: np.ndarray, whole: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """The probability that a customer of the types, n of whom are seated at so many tables, opens one."""
-        new = (self.strength + self.d * whole[self.restaurant[types]]) * parent[types]
-        return new / (new + np.maximum(n - self.d * tables, 1e-9))
-
-    def _seat(self, parent: np.ndarray) -> None:
-        """All customers one after the other; whole restaurants' tables as they were before."""
-        whole, seated = self.totals(), 1
-        most = int(self.count.max(initial=1))
+        return np.bincount(self.restaurant, self.tables, self.restaurants).astype(np.int64)
+
+    def sweep(self, parent: np.ndarray) -> None:
+        """Draw the tables of every type anew."""
+        whole = self.totals()
+        for small, large in zip(self.small, self.large, strict=True):
+            before = self.tables[small], self.tables[large]
+            self.tables[small] = self._draw(small, whole[self.restaurant[small]] - before[0], parent)
+            self.tables[large] = self._seat(large, whole[self.restaurant[large]] - before[1], parent)
+            for types, old in zip((small, large), before, strict=True):
+                np.add.at(whole, self.restaurant[types], self.tables[types] - old)
+
+    def _draw(self, types: np.ndarray, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """From the exact conditional."""
+        if not len(types):
+            return types
+        n = self.count[types]
+        t = ranges(n) + 1
+        first = np.cumsum(n) - n
+        # the log of the product of (strength / d + m) over m below each number of tables
+        rising = np.concatenate([[0.0], np.cumsum(np.log(self.strength / self.d + np.arange(int((others + n).max()))))])
+        weight = self.stirling[np.repeat(n, n), t] + t * np.repeat(np.log(self.d * parent[types]), n) + rising[np.repeat(others, n) + t]
+        weight = np.exp(weight - np.repeat(np.maximum.reduceat(weight, first), n))
+        upto = np.cumsum(weight)
+        low = np.concatenate([[0.0], upto[first[1:] - 1]])
+        at = np.searchsorted(upto, low + self.rng.random(len(types)) * (upto[first + n - 1] - low), "right")
+        return np.clip(at - first, 0, n - 1) + 1
+
+    def _seat(self, types: np.ndarray, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """One customer after the other, from the 64th on in blocks."""
+        tables, seated = np.ones(len(types), np.int64), 1
+        count, most = self.count[types], int(self.count[types].max(initial=1))
         while seated < most:
             block = max(1, seated // 16) if seated >= 64 else 1
-            live = np.flatnonzero(self.count > seated)
-            n = np.minimum(self.count[live] - seated, block)
-            p = self._open(live, np.full(len(live), seated), self.tables[live], whole, parent)
-            self.tables[live] += self.rng.binomial(n, p)
+            live = np.flatnonzero(count > seated)
+            new = (self.strength + self.d * (others[live] + tables[live])) * parent[types[live]]
+            p = new / (new + np.maximum(seated - self.d * tables[live], 1e-9))
+            tables[live] += self.rng.binomial(np.minimum(count[live] - seated, block), p)
             seated += block
-        # as many tables as drawn: the last customers of a small type have one each
-        extra = self.tables[self.small] - 1
-        owner = np.repeat(np.arange(len(self.small)), extra)
-        last = np.repeat(self.begin + self.count[self.small] - 1, extra) - (np.arange(len(owner)) - np.repeat(np.cumsum(extra) - extra, extra))
-        self.at[last] = 2 * last
-        self.held[2 * last] = 1
-        self.held[2 * self.begin] -= extra
-
-    def sweep(self, parent: np.ndarray, moves: int) -> None:
-        """Gibbs moves: a customer of each small type leaves and takes a seat anew, given all others."""
-        s = self.small
-        for _ in range(moves):
-            if not len(s):
-                return
-            size = self.count[s]
-            who = self.begin + (self.rng.random(len(s)) * size).astype(np.int64)
-            table = self.at[who]
-            self.held[table] -= 1
-            self.tables[s] -= self.held[table] == 0
-            new = self.rng.random(len(s)) < self._open(s, size - 1, self.tables[s], self.totals(), parent)
-            # an own table that nobody else holds
-            own = np.where(self.held[2 * who] == 0, 2 * who, 2 * who + 1)
-            new &= self.held[own] == 0
-            self.tables[s] += new
-            to = np.where(new, own, -1)
-            left = np.flatnonzero(~new)
-            while len(left):  # the table of another customer, taken with probability (n - d) / n
-                mate = self.begin[left] + (self.rng.random(len(left)) * size[left]).astype(np.int64)
-                try_ = self.at[mate]
-                n = self.held[try_]
-                ok = (mate != who[left]) & (n > 0) & (self.rng.random(len(left)) * np.maximum(n, 1) < n - self.d)
-                to[left[ok]] = try_[ok]
-                left = left[~ok]
-            self.at[who] = to
-            self.held[to] += 1
+        return tables
 
 
 class Pairs:
@@ -159,7 +158,7 @@ def _pairs(buckets: int):
         for b, of, at in p.parts():
             used, word = np.unique(p.word[at], return_inverse=True)
             sizes = np.bincount(p.context[at] - of.start, minlength=of.stop - of.start)
-            blobs.append(freeze(p.contexts[of], sizes.astype(np.uint32), p.words[used], word.astype(np.uint32 if len(used) > 65535 else np.uint16), p.count[at].astype(np.uint32)))
+            blobs.append(freeze(p.contexts[of], short(sizes), p.words[used], short(word), short(p.count[at])))
             numbers.append(b)
         return pa.table({"bucket": pa.array(numbers, pa.int32()), "g": pa.array([g] * len(numbers), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
@@ -168,9 +167,9 @@ def _pairs(buckets: int):
 
 def _restaurants(word_buckets: int, seed: int):
     def run(t: pa.Table) -> pa.Table:
-        """Sample the restaurants of a bucket of contexts. Sent back to each group: of its pairs the direct part
-        (c - d t) / (s + c_u), of its contexts the parent's part (s + d t_u) / (s + c_u), averaged over the samples. Sent
-        on by word: its count in training and the tables that serve it, the customers of the root."""
+        """Sample the restaurants of a bucket of contexts. Sent back to each group, as whole numbers (see direct_part and root_part): the
+        customers and tables of its pairs and of its contexts, tables summed over the samples. Sent on by word: its count
+        in training and the tables that serve it, the customers of the root."""
         t = t.sort_by("g")
         bucket, groups = t["bucket"][0].as_py(), t["g"].to_pylist()
         parts = [thaw(x) for x in t["blob"].to_pylist()]
@@ -187,7 +186,6 @@ def _restaurants(word_buckets: int, seed: int):
         restaurant, dish, n = keys[seen] // len(words), keys[seen] % len(words), count[seen]
         rng = np.random.default_rng([seed, bucket])
         d = discount(n)
-        customers = np.bincount(restaurant, n, len(contexts))
 
         def root(tables: np.ndarray) -> np.ndarray:
             """The root as this bucket's tables show it."""
@@ -195,27 +193,26 @@ def _restaurants(word_buckets: int, seed: int):
             d0, whole, dishes = discount(served[served > 0]), served.sum(), (served > 0).sum()
             return ((np.maximum(served - d0, 0) + (STRENGTH + d0 * dishes) / (len(words) + 1)) / (STRENGTH + whole))[dish]
 
-        direct, up, tables = np.zeros(len(n)), np.zeros(len(contexts)), np.zeros(len(n))
+        tables = np.zeros(len(n), np.int64)  # summed over the samples
         if len(n):
-            seating = Seating(restaurant, n, root(np.ones(len(n))), d, STRENGTH, rng)
+            seating = Seating(restaurant, n, d, STRENGTH, rng)
             for k in range(BURN_IN + SAMPLES):
-                seating.sweep(root(seating.tables), MOVES)
+                seating.sweep(root(seating.tables))
                 if k >= BURN_IN:
-                    tables += seating.tables / SAMPLES
-            direct = (n - d * tables) / (STRENGTH + customers[restaurant])
-        up = (STRENGTH + d * np.bincount(restaurant, tables, len(contexts))) / (STRENGTH + customers)
-        every = np.zeros(len(keys), np.float32)
-        every[seen] = direct
-        up = np.where(customers > 0, up, 1.0).astype(np.float32)
-        out = {"g": [], "kind": [], "bucket": [], "blob": []}
+                    tables += seating.tables
+        every, held = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        every[seen], held[seen] = n, tables
+        whole, opened = np.bincount(restaurant, n, len(contexts)), np.bincount(restaurant, tables, len(contexts))
+        out = {"g": [], "kind": [], "bucket": [], "d": [], "blob": []}
         a = z = 0
         for g, p in zip(groups, parts, strict=True):
-            pairs = len(p[3])
+            of, own = slice(a, a + len(p[0])), which[z : z + len(p[3])]
             out["g"].append(g)
             out["kind"].append(1)
             out["bucket"].append(bucket)
-            out["blob"].append(freeze(coarse(every[which[z : z + pairs]]), coarse(up[c[a : a + len(p[0])]])))
-            a, z = a + len(p[0]), z + pairs
+            out["d"].append(d)
+            out["blob"].append(freeze(*(short(x) for x in (every[own], held[own], whole[c[of]], opened[c[of]]))))
+            a, z = a + len(p[0]), z + len(p[3])
         uses, served = np.bincount(dish, n, len(words)), np.bincount(dish, tables, len(words))
         known = np.flatnonzero(uses)
         to = ((words[known] >> np.uint64(20)) % np.uint64(word_buckets)).astype(np.int64)
@@ -224,8 +221,9 @@ def _restaurants(word_buckets: int, seed: int):
             out["g"].append(-1)
             out["kind"].append(0)
             out["bucket"].append(b)
-            out["blob"].append(freeze(words[own], uses[own].astype(np.uint32 if uses.max() < 2**32 else np.uint64), coarse(served[own])))
-        return pa.table({"g": pa.array(out["g"], pa.int64()), "kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
+            out["d"].append(d)
+            out["blob"].append(freeze(words[own], short(uses[own]), short(served[own])))
+        return pa.table({"g": pa.array(out["g"], pa.int64()), "kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "d": pa.array(out["d"], pa.float64()), "blob": pa.array(out["blob"], pa.binary())})
 
     return run
 
@@ -235,7 +233,8 @@ def _vocabulary(t: pa.Table) -> pa.Table:
     parts = [thaw(x) for x in t["blob"].to_pylist()]
     words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     uses = np.bincount(at, np.concatenate([p[1].astype(float) for p in parts]), len(words)).astype(np.int64)
-    served = np.maximum(1, np.round(np.bincount(at, np.concatenate([p[2] for p in parts]), len(words)))).astype(np.int64)
+    served = np.bincount(at, np.concatenate([p[2].astype(float) for p in parts]), len(words)) / SAMPLES
+    served = np.maximum(1, np.round(served)).astype(np.int64)
     return pa.table({
         "bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "words": [len(words)], "tokens": [int(uses.sum())], "served": [int(served.sum())],
         "once": [int((served == 1).sum())], "twice": [int((served == 2).sum())], "blob": pa.array([freeze(words, uses, served)], pa.binary()),
@@ -254,29 +253,58 @@ def _asked(word_buckets: int):
     return run
 
 
+def root_discount(totals: dict) -> float:
+    return min(0.95, max(0.05, totals["once"] / (totals["once"] + 2 * totals["twice"]))) if totals["once"] else 0.5
+
+
 def _root(totals: dict, seed: int):
-    """Seat a bucket's words in the root and answer the groups that asked: count in training and root probability."""
-    d = min(0.95, max(0.05, totals["once"] / (totals["once"] + 2 * totals["twice"]))) if totals["once"] else 0.5
-    even = 1.0 / (totals["words"] + 1)
+    """Seat the words of each bucket in the root: what each word's own tables leave it, served - d * tables."""
+    d, even = root_discount(totals), 1.0 / (totals["words"] + 1)
+
+    def run(batches):
+        for b in batches:
+            opened, blobs = [], []
+            for bucket, blob in zip(b["bucket"].to_pylist(), b["blob"].to_pylist(), strict=True):
+                words, uses, served = thaw(blob)
+                # the root's dishes are one restaurant; other buckets' dishes count with one table each, which an even base makes all but sure
+                seating = Seating(np.zeros(len(words), np.int64), served, d, STRENGTH + d * (totals["words"] - len(words)), np.random.default_rng([seed, 7, bucket]))
+                tables = np.zeros(len(words), np.int64)
+                for k in range(BURN_IN + SAMPLES):
+                    seating.sweep(np.full(len(words), even))
+                    if k >= BURN_IN:
+                        tables += seating.tables
+                opened.append(int(tables.sum()))
+                blobs.append(freeze(words, short(uses), served - d * tables / SAMPLES))
+            yield pa.record_batch({"bucket": b["bucket"], "opened": pa.array(opened, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
 
-    def run(asked: pa.Table, vocabulary: pa.Table) -> pa.Table:
+def chances(left: np.ndarray, totals: dict) -> np.ndarray:
+    """The root's probability of words that have so much left of their own (0: unseen). Over all words and one unseen, 1."""
+    d, even = root_discount(totals), 1.0 / (totals["words"] + 1)
+    return (left + (STRENGTH + d * totals["opened"] / SAMPLES) * even) / (STRENGTH + totals["served"])
+
+
+def direct_part(customers: np.ndarray, tables: np.ndarray, whole: np.ndarray, d: float) -> np.ndarray:
+    """(c - d t) / (s + c_u) of pairs with so many customers and (over the samples) tables, in restaurants of whole customers."""
+    return (customers - d / SAMPLES * tables.astype(float)) / (STRENGTH + whole)
+
+
+def root_part(whole: np.ndarray, opened: np.ndarray, d: float) -> np.ndarray:
+    """(s + d t_u) / (s + c_u): the weight of the root in restaurants with so many customers and (over the samples) tables."""
+    return (STRENGTH + d / SAMPLES * opened.astype(float)) / (STRENGTH + whole)
+
+
+def _answer(totals: dict):
+    """What a bucket's words have, for the groups that asked: count in training and root probability."""
+
+    def run(asked: pa.Table, root: pa.Table) -> pa.Table:
         if not asked.num_rows:
-            return pa.table({"g": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        words, uses, served = thaw(vocabulary["blob"][0].as_py()) if vocabulary.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return pa.table({"g": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "d": pa.array([], pa.float64()), "blob": pa.array([], pa.binary())})
+        words, uses, left = thaw(root["blob"][0].as_py()) if root.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
         bucket = asked["bucket"][0].as_py()
-        # the root's dishes are one restaurant; other buckets' dishes count with one table each, which an even base makes all but sure
-        away = totals["words"] - len(words)
-        tables = np.ones(len(words))
-        if len(words):
-            seating = Seating(np.zeros(len(words), np.int64), served, np.full(len(words), even), d, STRENGTH + d * away, np.random.default_rng([seed, 7, bucket]))
-            tables = seating.tables * 0.0
-            for k in range(BURN_IN + SAMPLES):
-                seating.sweep(np.full(len(words), even), MOVES)
-                if k >= BURN_IN:
-                    tables += seating.tables / SAMPLES
-        rest = (STRENGTH + d * totals["words"]) / (STRENGTH + totals["served"]) * even
-        chance = np.append((served - d * tables) / (STRENGTH + totals["served"]) + rest, rest).astype(np.float32)
-        uses = np.append(uses, 0)
+        chance, uses = chances(np.append(left, 0.0), totals).astype(np.float32), np.append(uses, 0)
         out = []
         for blob in asked["asked"].to_pylist():
             (own,) = thaw(blob)
@@ -284,8 +312,9 @@ def _root(totals: dict, seed: int):
             found = at < len(words)
             found[found] = words[at[found]] == own[found]
             at = np.where(found, at, len(words))
-            out.append(freeze(uses[at].astype(np.uint32 if uses.max() < 2**32 else np.uint64), coarse(chance[at])))
-        return pa.table({"g": asked["g"], "kind": pa.array([2] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+            out.append(freeze(short(uses[at]), chance[at]))
+        n = len(out)
+        return pa.table({"g": asked["g"], "kind": pa.array([2] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "d": pa.nulls(n, pa.float64()), "blob": pa.array(out, pa.binary())})
 
     return run
 
@@ -294,18 +323,21 @@ def _score(totals: dict, buckets: int, word_buckets: int):
     def run(g: int, rows: pa.Table, replies: pa.Table) -> pa.Table:
         p = Pairs(rows, buckets)
         pair_blobs, word_blobs = {}, {}
-        for kind, b, blob in zip(*(replies[n].to_pylist() for n in ("kind", "bucket", "blob")), strict=True):
-            (pair_blobs if kind == 1 else word_blobs)[b] = blob
-        direct, up = np.zeros(len(p.count), np.float32), np.ones(len(p.contexts), np.float32)
+        for kind, b, d, blob in zip(*(replies[n].to_pylist() for n in ("kind", "bucket", "d", "blob")), strict=True):
+            (pair_blobs if kind == 1 else word_blobs)[b] = d, blob
+        direct, up = np.zeros(len(p.count)), np.ones(len(p.contexts))
         for b, of, at in p.parts():
-            direct[at], up[of] = thaw(pair_blobs[b])
+            d, blob = pair_blobs[b]
+            customers, tables, whole, opened = thaw(blob)
+            own = p.context[at] - of.start
+            direct[at], up[of] = direct_part(customers, tables, whole[own], d), root_part(whole, opened, d)
         uses, chance = np.zeros(len(p.words), np.int64), np.zeros(len(p.words), np.float32)
         to = ((p.words >> np.uint64(20)) % np.uint64(word_buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         numbers, cut = np.unique(to[order], return_index=True)
         for b, own in zip(numbers.tolist(), np.split(order, cut[1:]), strict=True):
-            uses[own], chance[own] = thaw(word_blobs[b])
-        pair = np.log10(direct.astype(float) + up[p.context] * chance[p.word].astype(float))
+            uses[own], chance[own] = thaw(word_blobs[b][1])
+        pair = np.log10(direct + up[p.context] * chance[p.word].astype(float))
         base = np.log10((uses + 1.0) / (totals["tokens"] + totals["words"] + 1.0))
         word = p.word[p.where]
         add = lambda x: np.add.reduceat(x, p.first[:-1]) if rows.num_rows else np.zeros(0)
@@ -326,9 +358,10 @@ def score(docs: DataFrame, seed: int = 11) -> DataFrame:
     a text) over one root restaurant over even chances for the words seen and one unseen. Score is log10 of a text's
     probability, from predictive probabilities averaged over Gibbs samples of the seating. base_score is the add-one
     unigram score. Null and empty texts are the end token alone. An empty table gives an empty result; other columns are
-    ignored; repeated rows count each.
+    ignored; repeated rows count each. A text of any length is one group's, of which a task holds the distinct pairs.
 
-    Restaurants are dealt by context to buckets, which sample them side by side, each with the root its own tables show;
+    A sweep draws the tables of all customers of every type anew: from the exact conditional up to MOST_SEATS customers,
+    else in blocks of customers. Types are sampled in PARTS parts, those of one part side by side. Restaurants are dealt by context to buckets, which sample them side by side, each with the root its own tables show;
     the tables of all buckets are the customers of the root, which is sampled by word. Everything a group of texts needs
     comes back to it as blobs: only distinct pairs and words of a group are sent.
     """
@@ -336,12 +369,14 @@ def score(docs: DataFrame, seed: int = 11) -> DataFrame:
     size = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-size // 6 // TOKENS_PER_BUCKET))
     pairs = map_groups(groups, _pairs(buckets), "bucket int, g long, blob binary")
-    seated = spool(pairs.groupBy("bucket").applyInArrow(_restaurants(buckets, seed), REPLY), "seated")
+    seated = spool(pairs.groupBy("bucket").applyInArrow(lean(_restaurants(buckets, seed)), REPLY), "seated")
     summary = "bucket int, words long, tokens long, served long, once long, twice long, blob binary"
-    vocabulary = spool(seated.where("kind = 0").select("bucket", "blob").groupBy("bucket").applyInArrow(_vocabulary, summary), "vocabulary")
+    vocabulary = spool(seated.where("kind = 0").select("bucket", "blob").groupBy("bucket").applyInArrow(lean(_vocabulary), summary), "vocabulary")
     totals = vocabulary.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("words", "tokens", "served", "once", "twice"))).first().asDict()
+    root = spool(vocabulary.select("bucket", "blob").mapInArrow(_root(totals, seed), "bucket int, opened long, blob binary"), "root")
+    totals["opened"] = root.agg(F.coalesce(F.sum("opened"), F.lit(0))).first()[0]
     asked = map_groups(groups, _asked(buckets), "bucket int, g long, asked binary")
-    rooted = asked.groupBy("bucket").cogroup(vocabulary.select("bucket", "blob").groupBy("bucket")).applyInArrow(_root(totals, seed), REPLY)
+    rooted = asked.groupBy("bucket").cogroup(root.select("bucket", "blob").groupBy("bucket")).applyInArrow(lean(_answer(totals)), REPLY)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = answer_groups(groups, seated.where("kind = 1").unionByName(rooted), _score(totals, buckets, buckets), schema)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -1,6 +1,7 @@
 """Every operator on a small table of awkward rows, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from plumbline.llm import exact_dedup, hamming_search, html_extract, jaccard_join, language_model, mixing, packing, secrets, substring_dedup, toxicity
-from plumbline.llm import _spark
+from plumbline.llm import _spark, _words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, g long, `key` int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,27 +280,75 @@ def test_language_model(docs, none):
     assert language_model.score(none).count() == 0
 
 
-def test_seating_keeps_its_books():
+def test_stirling_numbers():
+    """All seatings of n customers, enumerated: each customer joins a table or opens one."""
+    d, most = 0.6, 6
+    weight = Counter({(): 1.0})
+    for n in range(1, most + 1):
+        after = Counter()
+        for sizes, w in weight.items():
+            after[sizes + (1,)] += w
+            for k, size in enumerate(sizes):
+                after[sizes[:k] + (size + 1,) + sizes[k + 1 :]] += w * (size - d)
+        weight = after
+        for t in range(1, n + 1):
+            want = sum(w for sizes, w in weight.items() if len(sizes) == t)
+            assert math.isclose(math.exp(language_model.log_stirling(most, d)[n, t]), want, rel_tol=1e-9)
+
+
+def test_seating_follows_its_posterior():
+    """Table numbers of a small restaurant: frequencies over many sweeps against the enumerated posterior."""
+    count, parent, d, strength = np.array([5, 3, 1, 2]), np.array([0.3, 0.1, 0.2, 0.05]), 0.5, 1.0
+    log = language_model.log_stirling(5, d)
+    want = {}
+    for t in itertools.product(*(range(1, n + 1) for n in count)):
+        w = math.prod(strength + d * m for m in range(sum(t)))
+        want[t] = w * math.prod(math.exp(log[n, k]) * p**k for n, k, p in zip(count, t, parent, strict=True))
+    s = language_model.Seating(np.zeros(4, np.int64), count, d, strength, np.random.default_rng(4))
+    got = Counter()
+    for _ in range(20000):
+        s.sweep(parent)
+        got[tuple(s.tables.tolist())] += 1
+    assert set(got) <= set(want)
+    assert all(abs(got[t] / 20000 - w / sum(want.values())) < 0.02 for t, w in want.items())
+
+
+def test_seating_moves_every_type():
     rng = np.random.default_rng(0)
-    count = rng.integers(1, 400, 60)
-    s = language_model.Seating(np.repeat(np.arange(6), 10), count, np.full(60, 0.02), 0.6, 1.0, rng)
-    for _ in range(20):
-        s.sweep(np.full(60, 0.02), 2)
-        held = np.add.reduceat(s.held, 2 * s.begin)
-        open_ = np.add.reduceat((s.held > 0).astype(int), 2 * s.begin)
-        assert (held == count[s.small]).all() and (open_ == s.tables[s.small]).all() and (s.tables >= 1).all() and (s.tables <= count).all()
-        assert (np.bincount(s.at, minlength=len(s.held)) == s.held).all()
-
-
-def test_predictive_probabilities_sum_to_one(spark):
-    rows = [(k, " ".join(random.Random(k).choice("abcde") for _ in range(20))) for k in range(40)]
-    vocabulary = "abcde"
-    probes = [(1000 + k, f"{x}") for k, x in enumerate([*vocabulary, "never"])]
-    keep = [(i, t) for i, t in probes for _ in [0]]
-    while any(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in keep):  # probes are held out
-        keep = [(i if zlib.crc32(str(i).encode()) % 7 == 2 else i + 1000, t) for i, t in keep]
-    got = {r["doc_id"]: r["score"] for r in language_model.score(spark.createDataFrame(rows + keep, "doc_id long, text string")).collect()}
-    assert all(got[i] < 0 for i, _ in keep) and got[keep[-1][0]] < min(got[i] for i, _ in keep[:-1])
+    count = np.append(rng.integers(2, 2000, 600), [1, 1])
+    s = language_model.Seating(np.arange(602) % 6, count, 0.6, 1.0, rng)
+    moved = np.zeros(602, bool)
+    for _ in range(6):
+        before = s.tables.copy()
+        s.sweep(np.full(602, 0.2))
+        moved |= s.tables != before
+        assert (s.tables >= 1).all() and (s.tables <= count).all()
+    assert moved[count > 10].mean() > 0.95 and not moved[count == 1].any()
+
+
+def test_predictive_probabilities_sum_to_one():
+    """The model's steps, run here one after the other: in every context, the words seen and one unseen share all probability."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    rows = pa.table({"doc_id": pa.array(range(80), pa.int64()), "text": pa.array(texts)})
+    sent = language_model._pairs(1)(0, rows)
+    seated = language_model._restaurants(1, 5)(sent)
+    vocabulary = language_model._vocabulary(seated.filter(pa.array([k == 0 for k in seated["kind"].to_pylist()])))
+    totals = {n: sum(vocabulary[n].to_pylist()) for n in ("words", "tokens", "served", "once", "twice")}
+    assert totals["words"] == 9 and totals["tokens"] == sum(len(t.split()) + 1 for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2)
+    root = next(language_model._root(totals, 5)(vocabulary.select(["bucket", "blob"]).to_batches()))
+    totals["opened"] = sum(root["opened"].to_pylist())
+    words, _, left = _words.thaw(root["blob"][0].as_py())
+    chance = language_model.chances(np.append(left, 0.0), totals)
+    assert math.isclose(chance.sum(), 1.0, rel_tol=1e-9) and (chance > 0).all()
+    p = language_model.Pairs(rows, 1)
+    reply = next(r for r in seated.to_pylist() if r["kind"] == 1)
+    customers, tables, whole, opened = _words.thaw(reply["blob"])
+    direct = language_model.direct_part(customers, tables, whole[p.context], reply["d"])
+    up = language_model.root_part(whole, opened, reply["d"])
+    assert set(p.words) <= set(words)
+    sums = np.bincount(p.context, direct, len(up)) + up * chance.sum()
+    assert np.allclose(sums, 1.0, rtol=1e-9)
 
 
 def test_secrets(spark, none):
