@@ -20,7 +20,8 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_SHARD = 25_000
-#: Words, and parts of words, whose ids a Python worker remembers; the memory of words is emptied when it is full.
+#: Words, and parts of words, whose ids a Python worker remembers; the memory of words is emptied before it would be fuller
+#: (by more only if the texts at hand have more).
 REMEMBERED = 2_000_000
 REMEMBERED_PARTS = 150_000
 BATCH_BYTES = 2 << 20
@@ -84,8 +85,6 @@ class Encoder:
 
     def _learn(self, fresh: np.ndarray, words: list[bytes]) -> None:
         """fresh: the hashes, in order, of words not known yet."""
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self._empty()
         got = list(map(self._word, words))
         sizes = np.fromiter(map(len, got), np.uint32, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
@@ -108,11 +107,13 @@ class Encoder:
         words = Words(texts)
         kinds, where, which = np.unique(words.hash, return_index=True, return_inverse=True)
         raw = words.data.tobytes()
-        for known in range(2):  # if the memory had to be emptied, what was known is learnt anew
-            new = ~self._known(kinds)
-            if new.any():
-                at = where[new]
-                self._learn(kinds[new], [raw[a:z] for a, z in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+        new = ~self._known(kinds)
+        if new.any():
+            if len(self.known) + new.sum() > REMEMBERED:  # all words of these texts are learnt anew, however many they are
+                self._empty()
+                new[:] = True
+            at = where[new]
+            self._learn(kinds[new], [raw[a:z] for a, z in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
         at = np.searchsorted(self.known, kinds)[which]
         sizes, begin = self.size[at].astype(np.int64), self.begin[at].astype(np.int64)
         # END_ID behind the words of each text
