@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.llm._spark import salted_lookup, spool
 from plumbline.llm._words import SPACE, mix, pack
 
-#: Slots of the filter for each row, and the most slots it ever has: the bit map that tasks hold stays under 32 MB.
-#: Past that size more rows count as possibly repeated; results stay exact.
+#: Slots of the filter for each row, and the most slots of one filter: the bit map that tasks hold stays under 32 MB. Where
+#: that is too few, hashes are dealt to several filters, one after the other, so none of them fills up.
 SLOTS_PER_ROW = 16
 MAX_SLOTS = 1 << 28
 BLOCK = 1 << 16
@@ -85,18 +85,27 @@ def repeated_slots(hashed: DataFrame, slots: int) -> np.ndarray:
 
     parts = hashed.select("key").mapInArrow(scan, "block int, sparse boolean, bits binary")
     out = np.zeros(slots // 8, np.uint8)
-    for row in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").toLocalIterator():  # MAX_SLOTS bounds it
+    for row in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").collect():  # MAX_SLOTS bounds it
         out[row["block"] * (BLOCK // 8) : (row["block"] + 1) * (BLOCK // 8)] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+def _tester(twice, slots: int):
+    def test(batches):
+        for b in batches:
+            at = _slots(b["key"].to_numpy(), slots)
+            yield b.append_column("again", pa.array((twice.value[at // 8] >> (7 - at % 8) & 1).all(axis=0)))
+
+    return test
+
+
 def exact_dedup(docs: DataFrame, row: str | None = None, slots_per_row: int = SLOTS_PER_ROW, max_slots: int = MAX_SLOTS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row (the column of that name that
     numbers the rows of docs, or numbers given here).
 
     Texts are equal if identical once the characters space and U+0009 to U+000D are deleted; a null text is empty, and
     all empty texts are one group. The row with the most code points, then the smallest doc_id (null first), stays;
-    of rows that tie in both, one. An empty table gives an empty result; other columns are ignored.
+    of rows that tie in both, one. A text of any length is hashed whole. An empty table gives an empty result; other columns are ignored.
 
     The first pass counts hashes in a filter of bounded size; the second sends on only rows all of whose slots were hit
     twice. The others cannot repeat and pass straight through without a shuffle.
@@ -105,17 +114,16 @@ def exact_dedup(docs: DataFrame, row: str | None = None, slots_per_row: int = SL
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), numbers.alias("row"))
     hashed = spool(texts.mapInArrow(_hash_rows, "doc_id long, text_sha256 string, size long, key long, row long"), "hashed")
     rows = hashed.count()
+    filters = max(1, -(-slots_per_row * rows // max_slots))
     slots = BLOCK
-    while slots < min(slots_per_row * rows, max_slots):
+    while slots * filters < slots_per_row * rows:
         slots *= 2
-    twice = hashed.sparkSession.sparkContext.broadcast(repeated_slots(hashed, slots))
-
-    def test(batches):
-        for b in batches:
-            at = _slots(b["key"].to_numpy(), slots)
-            yield b.append_column("again", pa.array((twice.value[at // 8] >> (7 - at % 8) & 1).all(axis=0)))
-
-    tested = hashed.mapInArrow(test, "doc_id long, text_sha256 string, size long, key long, row long, again boolean")
+    schema = "doc_id long, text_sha256 string, size long, key long, row long, again boolean"
+    tested = None
+    for k in range(filters):
+        part = hashed.where(F.pmod("key", F.lit(filters)) == k) if filters > 1 else hashed
+        now = part.mapInArrow(_tester(hashed.sparkSession.sparkContext.broadcast(repeated_slots(part, slots)), slots), schema)
+        tested = now if tested is None else tested.unionByName(now)
     single = tested.where("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row")
     again = tested.where("again").select("doc_id", "text_sha256", "size", "row")
     order = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")
