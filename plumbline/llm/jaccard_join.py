@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._spark import answer_groups, components, map_groups, pack_groups, salted_lookup, spool
+from plumbline.llm._spark import PLACE_BITS, answer_groups, components, map_groups, pack_groups, salted_lookup, spool, union_find
 from plumbline.llm._words import _GRAM, Words, freeze, mix, ranges, thaw
 
 SHINGLE = 4
@@ -17,6 +19,9 @@ FREQUENT = 1024
 COMBINED = 2
 TOKENS_PER_BUCKET = 3_000_000
 KEYS_PER_BUCKET = 1_000_000
+#: A key of more sets than this is compared in tiles, in which a pair of sets shows once, however many keys they share.
+LARGE_KEY = 64
+TILE = 1024
 
 #: kind 1: classes of the tokens a group sent (bucket, blob); 2: sets of a group that a row elsewhere stands for;
 #: 3: keys of a group (bucket, blob); 4: members (x row, y representative, doc_id, n);
@@ -121,7 +126,7 @@ def _answers(t: pa.Table) -> pa.Table:
     if own:
         p0, p1, size, at = (np.concatenate([x[k] for x in own]) for k in range(1, 5))
         of = np.repeat([x[0] for x in own], [len(x[1]) for x in own])
-        row = (of << 24) + at
+        row = (of << PLACE_BITS) + at
         order = np.lexsort((row, size, p1, p0))
         same = np.zeros(len(order), bool)
         same[1:] = (p0[order[1:]] == p0[order[:-1]]) & (p1[order[1:]] == p1[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
@@ -142,7 +147,7 @@ def _prefixes(buckets: int, key_buckets: int, shingle: int, percent: int, freque
         stands, token, at, _, bucket = _tokens(s, lead, buckets)
         level = np.zeros(len(token), np.uint8)
         places = dict(_split(bucket))
-        stand = (g << 24) + np.arange(len(lead))
+        stand = (g << PLACE_BITS) + np.arange(len(lead))
         for kind, b, blob in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["blob"].to_pylist(), strict=True):
             if kind == 1:
                 level[places[b]] = thaw(blob)[0]
@@ -150,12 +155,13 @@ def _prefixes(buckets: int, key_buckets: int, shingle: int, percent: int, freque
                 own, by = thaw(blob)
                 stand[own] = by
         stand = stand[lead]
-        parts = [{"kind": 4, "x": (g << 24) + np.arange(len(lead)), "y": stand, "doc_id": rows["doc_id"].to_pylist(), "n": s.size}] if len(lead) else []
+        parts = [{"kind": 4, "x": (g << PLACE_BITS) + np.arange(len(lead)), "y": stand, "doc_id": rows["doc_id"].to_pylist(), "n": s.size}] if len(lead) else []
         # tokens of the sets that stand for themselves, rarest class first, then by hash: one order for all sets
         doc, code, level = s.doc[stands], s.token[stands], level[at]
         need = -(-percent * s.size // 100)
+        known = np.bincount(doc, level > 0, len(lead)).astype(np.int64)  # tokens that other sets may hold
         # smaller sets match only their equals, unless one more token keeps the share
-        ok = (stand == (g << 24) + np.arange(len(lead))) & (100 * s.size >= percent * (s.size + 1))
+        ok = (stand == (g << PLACE_BITS) + np.arange(len(lead))) & (100 * s.size >= percent * (s.size + 1)) & (100 * known >= percent * s.size)
         order = np.lexsort((code, level, doc))
         doc, code, level = doc[order], code[order], level[order]
         size = np.bincount(doc, minlength=len(lead))
@@ -179,49 +185,55 @@ def _prefixes(buckets: int, key_buckets: int, shingle: int, percent: int, freque
             owner.append(many[a])
         keys, owner = np.concatenate(keys), np.concatenate(owner)
         for b, own in _split(((keys >> np.uint64(20)) % np.uint64(key_buckets)).astype(np.int64)):
-            parts.append({"kind": 3, "g": [g], "bucket": [b], "blob": [freeze(keys[own], owner[own].astype(np.uint32), s.size[owner[own]].astype(np.uint32))]})
+            parts.append({"kind": 3, "g": [g], "bucket": [b], "blob": [freeze(keys[own], owner[own].astype(np.uint32), s.size[owner[own]].astype(np.uint32), known[owner[own]].astype(np.uint32))]})
         return _table(*parts)
 
     return run
 
 
 def _meet(blobs: list[bytes], g: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries of keys that several sets have, in order of key and size: key's number, row, size, label."""
+    """Entries of keys that several sets have, in order of key and size: key's number, row, size, known tokens, label."""
     own = [thaw(x) for x in blobs]
     key = np.concatenate([x[0] for x in own])
-    row = np.concatenate([(np.int64(k) << 24) + x[1].astype(np.int64) for k, x in zip(g, own, strict=True)])
-    size = np.concatenate([x[2] for x in own]).astype(np.int64)
-    label = np.concatenate([x[3] for x in own]) if len(own[0]) > 3 else row
+    row = np.concatenate([(np.int64(k) << PLACE_BITS) + x[1].astype(np.int64) for k, x in zip(g, own, strict=True)])
+    size, known = (np.concatenate([x[i] for x in own]).astype(np.int64) for i in (2, 3))
+    label = np.concatenate([x[4] for x in own]) if len(own[0]) > 4 else row
     order = np.lexsort((row, size, key))
     key = key[order]
     twin = np.zeros(len(key), bool)
     twin[1:] = key[1:] == key[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
-    return np.unique(key[twin], return_inverse=True)[1], row[order], size[order], label[order]
+    return np.unique(key[twin], return_inverse=True)[1], row[order], size[order], known[order], label[order]
+
+
+def _possible(percent: int, size_a, size_b, known_a, known_b):
+    """Whether two sets, the first of which is no larger, may match by their sizes and by how many of their tokens other sets hold at all."""
+    return (100 * size_a >= percent * size_b) & ((100 + percent) * np.minimum(known_a, known_b) >= percent * (size_a + size_b))
 
 
 def _pairs_table(a: np.ndarray, b: np.ndarray) -> list[dict]:
     both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return [{"kind": 5, "g": [group], "blob": [freeze(both[k])]} for group, k in _split(both[:, 0] >> 24)]
+    return [{"kind": 5, "g": [group], "blob": [freeze(both[k])]} for group, k in _split(both[:, 0] >> PLACE_BITS)]
 
 
 def _leaders(percent: int):
     """First candidates: each set of a key with the smallest set there that its size allows as a match."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, row, size, _ = _meet(t["blob"].to_pylist(), t["g"].to_numpy())
+        key, row, size, known, _ = _meet(t["blob"].to_pylist(), t["g"].to_numpy())
         active = np.unique(row)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(key):
             first = np.concatenate([[True], key[1:] != key[:-1]])
             lead = np.flatnonzero(first)[np.cumsum(first) - 1]
             near = 100 * size[lead] >= percent * size
-            a.append(row[lead][near & ~first])
-            b.append(row[near & ~first])
-            key, row, size = key[~near], row[~near], size[~near]
+            ok = ~first & _possible(percent, size[lead], size, known[lead], known)
+            a.append(row[lead][ok])
+            b.append(row[ok])
+            key, row, size, known = key[~near], row[~near], size[~near], known[~near]
         parts = _pairs_table(np.concatenate(a), np.concatenate(b))
-        parts += [{"kind": 6, "g": [group], "blob": [freeze(active[k])]} for group, k in _split(active >> 24)]
+        parts += [{"kind": 6, "g": [group], "blob": [freeze(active[k])]} for group, k in _split(active >> PLACE_BITS)]
         return _table(*parts)
 
     return run
@@ -240,43 +252,100 @@ def _label(left: pa.Table, right: pa.Table) -> pa.Table:
     row, label = row[order], label[order]
     parts = []
     for b, blob in zip(left["bucket"].to_pylist(), left["blob"].to_pylist(), strict=True):
-        key, owner, size = thaw(blob)
-        own = (np.int64(g) << 24) + owner.astype(np.int64)
+        key, owner, size, many = thaw(blob)
+        own = (np.int64(g) << PLACE_BITS) + owner.astype(np.int64)
         keep = np.isin(own, active)
-        key, owner, size, own = key[keep], owner[keep], size[keep], own[keep]
+        key, owner, size, many, own = key[keep], owner[keep], size[keep], many[keep], own[keep]
         at = np.minimum(np.searchsorted(row, own), max(0, len(row) - 1))
         held = np.where(row[at] == own, label[at], own) if len(row) else own
         if len(key):
-            parts.append({"kind": 3, "g": [g], "bucket": [b], "blob": [freeze(key, owner, size, held)]})
+            parts.append({"kind": 3, "g": [g], "bucket": [b], "blob": [freeze(key, owner, size, many, held)]})
     return _table(*parts)
 
 
 def _crossings(percent: int):
-    """All other candidates: the pairs of a key whose sets are in different components so far and whose sizes allow a match."""
-
-    def run(t: pa.Table) -> pa.Table:
-        key, row, size, label = _meet(t["blob"].to_pylist(), t["g"].to_numpy())
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    """All other candidates: the pairs of a key whose sets are in different components so far and may match. They go out
+    as they are found, so a task holds some millions of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        key, row, size, known, label = _meet(t["blob"].to_pylist(), t["g"].to_numpy())
+        if not len(key):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(cut, len(key)))
-        mixed = (np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut)) if len(cut) else np.zeros(0, bool)
-        inside = np.repeat(mixed, n)
-        key, row, size, label = key[inside], row[inside], size[inside], label[inside]
-        n = n[mixed]
-        after = np.repeat(np.cumsum(n), n) - np.arange(len(key)) - 1
-        found = np.zeros((0, 2), np.int64)
-        lo = 0
-        while lo < len(key):  # some millions of pairs at a time
-            hi = max(lo + 1, int(np.searchsorted(np.cumsum(after[lo:]), 1 << 21)) + lo)
-            a = np.repeat(np.arange(lo, hi), after[lo:hi])
-            b = a + 1 + ranges(after[lo:hi])
-            ok = (label[a] != label[b]) & (100 * size[a] >= percent * size[b])
-            found = np.unique(np.concatenate([found, np.stack([row[a[ok]], row[b[ok]]], axis=1)]), axis=0)
-            lo = hi
-        return _table(*_pairs_table(found[:, 0], found[:, 1]))
+        mixed = np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut)
+        large = n > LARGE_KEY
+        for few in (True, False):
+            inside = np.repeat(mixed & (large != few), n)
+            held = [x[inside] for x in (key, row, size, known, label)]
+            for a, b in _each(percent, *held) if few else _tiles(percent, *held):
+                if len(a):
+                    yield from _table(*_pairs_table(a, b)).to_batches()
 
     return run
 
 
+def _each(percent: int, key, row, size, known, label) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of small keys, key by key, some millions at a time."""
+    n = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))) if len(key) else np.zeros(0, np.int64)
+    after = np.repeat(np.cumsum(n), n) - np.arange(len(key)) - 1
+    upto = np.concatenate([[0], np.cumsum(after)])
+    lo = 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + (1 << 21), "right")) - 1)
+        a = np.repeat(np.arange(lo, hi), after[lo:hi])
+        b = a + 1 + ranges(after[lo:hi])
+        ok = (label[a] != label[b]) & _possible(percent, size[a], size[b], known[a], known[b])
+        yield row[a[ok]], row[b[ok]]
+        lo = hi
+
+
+def _tiles(percent: int, key, row, size, known, label) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of large keys. Sets that hang together by them are laid out by size, and each tile of two runs of sets is one
+    product of their key matrices."""
+    if not len(key):
+        return
+    rows, at, number = np.unique(row, return_index=True, return_inverse=True)
+    keys, code = np.unique(key, return_inverse=True)
+    node, low = union_find(number, len(rows) + code)
+    part = low[np.searchsorted(node, np.arange(len(rows)))]
+    order = np.lexsort((rows, size[at], part))
+    rows, size, known, label, part = rows[order], size[at][order], known[at][order], label[at][order], part[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    entry = np.argsort(place[number], kind="stable")
+    own, code = place[number][entry], code[entry]
+    begin = np.searchsorted(own, np.arange(len(rows) + 1))
+
+    def matrix(lo: int, hi: int, columns: np.ndarray) -> np.ndarray:
+        span = slice(begin[lo], begin[hi])
+        c = np.minimum(np.searchsorted(columns, code[span]), len(columns) - 1)
+        hit = columns[c] == code[span]
+        out = np.zeros((hi - lo, len(columns)), np.float32)
+        out[own[span][hit] - lo, c[hit]] = 1
+        return out
+
+    for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+        for lo in range(first, last, TILE):
+            hi = min(lo + TILE, last)
+            used = np.unique(code[begin[lo] : begin[hi]])
+            for lo2 in range(lo, last, TILE):
+                hi2 = min(lo2 + TILE, last)
+                if 100 * size[hi - 1] < percent * size[lo2]:
+                    break
+                if label[lo:hi].min() == label[lo:hi].max() == label[lo2:hi2].min() == label[lo2:hi2].max():
+                    continue
+                shared = np.zeros((hi - lo, hi2 - lo2), bool)
+                for k in range(0, len(used), 4 * TILE):
+                    columns = used[k : k + 4 * TILE]
+                    shared |= matrix(lo, hi, columns) @ matrix(lo2, hi2, columns).T > 0
+                a, b = np.nonzero(shared)
+                a, b = a + lo, b + lo2
+                ok = (a < b) & (label[a] != label[b]) & _possible(percent, size[a], size[b], known[a], known[b])
+                yield rows[a[ok]], rows[b[ok]]
+
+
 def _ship(shingle: int):
     def run(g: int, rows: pa.Table, replies: pa.Table) -> pa.Table:
         """The sets of a group's candidates, to the groups of their partners: once each."""
@@ -284,9 +353,9 @@ def _ship(shingle: int):
         if not len(both):
             return _table()
         own, at = np.unique(both[:, 0], return_inverse=True)
-        s = Sets(rows["text"].take(pa.array(own & ((1 << 24) - 1))), shingle)
+        s = Sets(rows["text"].take(pa.array(own & ((1 << PLACE_BITS) - 1))), shingle)
         parts = []
-        for to, k in _split(both[:, 1] >> 24):
+        for to, k in _split(both[:, 1] >> PLACE_BITS):
             used, a = np.unique(at[k], return_inverse=True)
             n = s.size[used]
             token = s.token[np.repeat(s.first[used], n) + ranges(n)]
@@ -302,7 +371,7 @@ def _verify(shingle: int, percent: int):
         sent = [thaw(x) for x in replies["blob"].to_pylist()]
         if sent:
             own = np.unique(np.concatenate([x[4] for x in sent]))
-            s = Sets(rows["text"].take(pa.array(own & ((1 << 24) - 1))), shingle)
+            s = Sets(rows["text"].take(pa.array(own & ((1 << PLACE_BITS) - 1))), shingle)
             token, code = np.unique(s.token, return_inverse=True)
             have = s.doc * max(1, len(token)) + code  # sorted
             for row, n, theirs, a, b in sent:
@@ -357,7 +426,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     first = spool(keys.groupBy("bucket").applyInArrow(_leaders(percent), ROWS), "leaders")
     links = verified(first.where("kind = 5"))
-    labels = components(links).select(F.lit(7).alias("kind"), F.shiftright("node", 24).alias("g"), F.lit(None).cast("binary").alias("blob"), F.col("node").alias("x"), F.col("component").alias("y"))
+    labels = components(links).select(F.lit(7).alias("kind"), F.shiftright("node", PLACE_BITS).alias("g"), F.lit(None).cast("binary").alias("blob"), F.col("node").alias("x"), F.col("component").alias("y"))
     about = first.where("kind = 6").select("kind", "g", "blob", "x", "y").unionByName(labels)
     labelled = keys.groupBy("g").cogroup(about.groupBy("g")).applyInArrow(_label, ROWS)
     second = spool(labelled.groupBy("bucket").applyInArrow(_crossings(percent), ROWS), "crossings")
