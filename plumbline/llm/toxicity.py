@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._spark import frame
+from plumbline.llm._spark import frame, trim
 from plumbline.llm._words import Words, freeze, ranges, raw, short, thaw
 
 #: Labelled rows that the index is fitted on: about so many, chosen by a hash of doc_id, however many there are.
-MAX_LABELLED = 5_000
+MAX_LABELLED = 2_000
 #: Besides whole words, the first letters of longer ones are terms.
 STEMS = (5,)
 NEIGHBOURS = 32
@@ -19,7 +19,7 @@ BLOCK = 64
 #: Blocks that a search reads first; then ever four times as many.
 FIRST_BLOCKS = 8
 #: Examples, at most twice as many, whose own votes calibrate the scores.
-CALIBRATED = 2_000
+CALIBRATED = 1_000
 EVIDENCE = 5
 SLICE_BYTES = 4 << 20
 MAYBE_BITS = 22
@@ -211,7 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     tf = np.concatenate([x[1].astype(np.int64) for x in parts] or [np.zeros(0, np.int64)])
     example = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
     weight = term_weights(docs_of, np.bincount(term, toxic[example], len(terms)), len(parts), int(toxic.sum()))
-    return Index(terms, weight, example, term, tf, doc_ids, toxic)
+    del parts, codes, rows
+    index = Index(terms, weight, example, term, tf, doc_ids, toxic)
+    trim()
+    return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
