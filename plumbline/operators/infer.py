@@ -9,48 +9,43 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators import limits as L
-from plumbline.operators.stats import frequencies, unique_and_mode
+from plumbline.operators.stats import frequencies, unique_and_mode, unpivot
 from plumbline.operators.views import View
 
-#: Columns counted in one aggregate: wide ones compile badly.
-AT_A_TIME = 8
+def _parts(t: Column) -> Column:
+    """What the counters look at in one trimmed, present text."""
+    number = text.trimmed_number(t).isNotNull()
+    return F.struct(
+        number.alias("number"), (number & ~F.rlike(t, F.lit(text.LEADING_ZERO))).alias("plain"), text.trimmed_timestamp(t).isNotNull().alias("date"),
+        F.lower(t).isin(*text.TRUE_FALSE).alias("boolean"), text.code_units(t).alias("length"), text.has_space(t).alias("spaced"),
+    )
 
 
-def parts(v: View) -> dict[str, Column]:
-    """What the counters of a column look at, computed once a value."""
-    if v.stored != "string":
-        return {"has": v.present}
-    t = v.text
-    return {
-        "has": t.isNotNull(), "number": text.to_number(t).isNotNull(), "zero": F.rlike(t, F.lit(text.LEADING_ZERO)), "date": text.to_timestamp(t).isNotNull(),
-        "boolean": text.is_boolean(t), "length": text.code_units(t), "spaced": text.has_space(t),
-    }
-
-
-def counters(v: View, p: Mapping[str, Column]) -> dict[str, Column]:
-    """Aggregates over one column's parts; all of them run in one scan with those of other columns."""
-    out = {"missing": F.count_if(~p["has"])}
-    if v.stored == "string":
-        out |= {
-            "numeric": F.count_if(p["number"]), "plain": F.count_if(p["number"] & ~p["zero"]), "dates": F.count_if(p["date"]),
-            "booleans": F.count_if(p["boolean"]), "length": F.coalesce(F.sum(p["length"]), F.lit(0.0)), "spaced": F.count_if(p["spaced"]),
-        }
-    return out
+def value_counters(values: DataFrame) -> DataFrame:
+    """name, missing, numeric, plain, dates, booleans, length, spaced from name, value (trimmed text, null if missing) and
+    count, the rows of that value. Each value is looked at once, however many rows and columns there are."""
+    # a lambda's variable is computed once for all tests
+    seen = values.select("name", "value", "count", F.get(F.transform(F.filter(F.array("value"), lambda x: x.isNotNull()), _parts), F.lit(0)).alias("p"))
+    n = F.col("count")
+    add = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    return seen.groupBy("name").agg(
+        add(F.col("value").isNull()).alias("missing"), add(F.col("p.number")).alias("numeric"), add(F.col("p.plain")).alias("plain"), add(F.col("p.date")).alias("dates"),
+        add(F.col("p.boolean")).alias("booleans"), F.coalesce(F.sum(F.col("p.length") * n), F.lit(0.0)).alias("length"), add(F.col("p.spaced")).alias("spaced"),
+    )
 
 
 def count_columns(df: DataFrame, views: Sequence[View]) -> tuple[int, dict[str, dict[str, float]]]:
-    """Rows, and the counters of every column."""
-    rows, out = None, {}
-    for lo in range(0, max(1, len(views)), AT_A_TIME):
-        part = views[lo : lo + AT_A_TIME]
-        seen = [(i, k, c) for i, v in enumerate(part) for k, c in parts(v).items()]
-        flat = df.select(*(c.alias(f"p{i}_{k}") for i, k, c in seen)) if seen else df
-        named = [(v.name, k, c) for i, v in enumerate(part) for k, c in counters(v, {k: F.col(f"p{j}_{k}") for j, k, _ in seen if j == i}).items()]
-        got = flat.agg(F.count(F.lit(1)).alias("rows"), *(c.alias(f"c{i}") for i, (_, _, c) in enumerate(named))).first()
-        rows = got["rows"]
-        for i, (name, k, _) in enumerate(named):
-            out.setdefault(name, {})[k] = got[f"c{i}"]
-    return rows, out
+    """Rows, and the counters of every column: one aggregate for missing values, and one over the distinct values of all text columns."""
+    plain = [v for v in views if v.stored != "string"]
+    got = df.agg(F.count(F.lit(1)), *(F.count_if(~v.present) for v in plain)).first()
+    out = {v.name: {"missing": n} for v, n in zip(plain, got[1:], strict=True)}
+    texts = {v.name: v.text for v in views if v.stored == "string"}
+    if texts:
+        values = unpivot(df, texts).groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+        empty = {"missing": 0, "numeric": 0, "plain": 0, "dates": 0, "booleans": 0, "length": 0.0, "spaced": 0}
+        found = {r["name"]: r.asDict() for r in value_counters(values).collect()}  # one row a column
+        out |= {name: empty | {k: x for k, x in found.get(name, {}).items() if k != "name"} for name in texts}
+    return got[0], out
 
 
 def stored_as_number(c: Mapping[str, float], rows: int) -> bool:
@@ -72,13 +67,13 @@ def pick_type(c: Mapping[str, float], rows: int, unique: int) -> str:
     return "text" if share >= L.TEXT_UNIQUE_RATIO and mean >= L.TEXT_MEAN_LENGTH else "categorical"
 
 
-def invalid_count(c: Mapping[str, float], rows: int, kind: str) -> int:
+def invalid_count(c: Mapping[str, float], rows: int, kind: str, overridden: bool = False) -> int:
     """Present values that are none of the type; only numbers, dates and booleans can be invalid."""
     good = {"numeric": "numeric", "datetime": "dates", "boolean": "booleans"}.get(kind)
     if good is None or good not in c:
         return 0
-    # the vote for numbers leaves out leading zeros, and so does their validity
-    return int(rows - c["missing"] - c["plain" if kind == "numeric" else good])
+    # the vote for numbers leaves out leading zeros, and so does the validity of an inferred type; a type that was set takes them
+    return int(rows - c["missing"] - c["plain" if kind == "numeric" and not overridden else good])
 
 
 def type_of(v: View, c: Mapping[str, float], rows: int, unique: int) -> str:

@@ -39,11 +39,6 @@ def pearson_pairs(df: DataFrame, columns: dict[str, Column]) -> dict[tuple[str,
     return out
 
 
-def average_rank(value: Column) -> Column:
-    """The mean place of a value among all, ties sharing theirs."""
-    return F.rank().over(Window.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / F.lit(2.0)
-
-
 def ranks(df: DataFrame, column: Column) -> DataFrame:
     """value, rank of every distinct value, from counts: sorted ranges of values are summed apart, then offset."""
     counts = df.where(column.isNotNull()).groupBy(column.alias("value")).agg(F.count(F.lit(1)).alias("n"))

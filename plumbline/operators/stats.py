@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import limits as L
 
+#: Parts of an interval that one pass of a selection counts.
+BINS = 2048
+
 
 def unpivot(df: DataFrame, columns: dict[str, Column], order: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """[by,] name, value[, first] of every value of the columns, nulls included: one shuffle then serves all of them."""
@@ -18,6 +21,60 @@ def unpivot(df: DataFrame, columns: dict[str, Column], order: Column | None = No
     return df.select(*by, cells, *first).select(*by, "cell.name", "cell.value", *(["first"] if first else []))
 
 
+def selected(long: DataFrame, at: Sequence[float]) -> dict[str, list[float]]:
+    """Of each name in name, value: its quantiles with linear interpolation, exactly. Names without values are left out.
+
+    Selection by narrowing: a pass counts the values of BINS equal parts of every interval that still holds a wanted rank,
+    with the smallest and largest value of each part, which bound the next interval. An interval of n values takes some
+    log(n) / log(BINS) passes; only counts are shuffled, never values.
+    """
+    numbers = long.where("value is not null").select("name", F.col("value").cast("double").alias("value"))
+    found: dict[str, dict[int, float]] = {}
+    ranks: dict[str, int] = {}
+    # unresolved: (name, low, high, values below, wanted ranks)
+    open_: list[tuple[str, float, float, int, list[int]]] = []
+    for r in numbers.groupBy("name").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n")).collect():  # one row a column
+        ranks[r["name"]], found[r["name"]] = r["n"], {}
+        wanted = sorted({min(r["n"] - 1, int((r["n"] - 1) * p) + k) for p in at for k in (0, 1)})
+        open_.append((r["name"], r["low"], r["high"], 0, wanted))
+    while open_:
+        todo, spans = open_, []
+        for k, (name, low, high, _, wanted) in enumerate(todo):
+            if low == high:
+                found[name] |= dict.fromkeys(wanted, low)
+            else:
+                spans.append((k, name, low, high))
+        if not spans:
+            break
+        table = F.broadcast(long.sparkSession.createDataFrame(spans, "span int, of string, low double, high double"))  # two a column and quantile at most
+        inside = numbers.join(table, (F.col("name") == F.col("of")) & F.col("value").between(F.col("low"), F.col("high")))
+        # halves first: the width of the largest doubles' span is no double
+        part = F.least(F.lit(BINS - 1), F.floor((F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS)).cast("int")
+        bins = inside.groupBy("span", part.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        of: dict[int, list] = {}
+        for r in bins.collect():  # BINS rows a span at most
+            of.setdefault(r["span"], []).append(r)
+        open_ = []
+        for k, name, *_ in spans:
+            below, wanted = todo[k][3], todo[k][4]
+            for r in sorted(of[k], key=lambda r: r["bin"]):
+                own = [w for w in wanted if below <= w < below + r["n"]]
+                # the ends of a part are known already
+                found[name] |= {w: r["low"] for w in own if w == below} | {w: r["high"] for w in own if w == below + r["n"] - 1}
+                rest = [w for w in own if w not in found[name]]
+                if rest:
+                    open_.append((name, r["low"], r["high"], below, rest))
+                below += r["n"]
+    out = {}
+    for name, n in ranks.items():
+        out[name] = []
+        for p in at:
+            k = int((n - 1) * p)
+            a, b = found[name][k], found[name][min(k + 1, n - 1)]
+            out[name].append(a + ((n - 1) * p - k) * (b - a) if b > a else a)
+    return out
+
+
 def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """One row per column (and group): n, missing, mean, std, min, q1, median, q3, max, skewness, kurtosis.
 
@@ -27,13 +84,20 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str]
     """
     long = unpivot(df, columns, by=by)
     keys = [*by, "name"]
+    if by:
+        quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    else:
+        own = selected(long, [0.25, 0.5, 0.75])
+        quartiles = F.lit(None).cast("array<double>")
+        for name, q in own.items():
+            quartiles = F.when(F.first("name") == name, F.array(*map(F.lit, q))).otherwise(quartiles)
     means = long.groupBy(*keys).agg(F.avg("value").alias("mean"))
     on = long.join(F.broadcast(means) if not by else means, keys)
     d = F.col("value") - F.col("mean")
     powers = on.groupBy(*keys).agg(
         F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.first("mean").alias("mean"),
         F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+        F.min("value").alias("min"), F.max("value").alias("max"), quartiles.alias("q"),
     )
     n, m2 = F.col("n"), F.col("s2") / F.col("n")
     flat = F.col("s2") <= 0
@@ -48,8 +112,8 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column], by: Sequence[str]
 
 def quantiles(df: DataFrame, column: Column, at: Sequence[float]) -> DataFrame:
     """p, value: quantiles with linear interpolation."""
-    got = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("q"))
-    return got.select(F.posexplode("q").alias("k", "value")).select(F.array(*map(F.lit, at))[F.col("k")].alias("p"), "value")
+    got = selected(unpivot(df, {"x": column}), at).get("x", [None] * len(at))
+    return df.sparkSession.createDataFrame(list(zip(at, got, strict=True)), "p double, value double")
 
 
 def frequencies(df: DataFrame, columns: dict[str, Column], order: Column | None = None) -> DataFrame:
@@ -158,8 +222,8 @@ def outside(value: Column, low, high) -> Column:
 def iqr_outliers(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """name, lower, upper, count, rate of every column."""
     long = unpivot(df, columns)
-    q = long.groupBy("name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q = q.select("name", (F.col("q")[0] - L.IQR_FACTOR * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + L.IQR_FACTOR * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
+    bounds = [(name, *iqr_bounds(*q)) for name, q in selected(long, [0.25, 0.75]).items()]
+    q = df.sparkSession.createDataFrame(bounds, "name string, lower double, upper double")
     out = long.join(F.broadcast(q), "name").groupBy("name").agg(F.first("lower").alias("lower"), F.first("upper").alias("upper"), outside(F.col("value"), F.col("lower"), F.col("upper")).alias("count"), F.count("value").alias("n"))
     return out.select("name", "lower", "upper", "count", F.coalesce(F.try_divide("count", "n"), F.lit(0.0)).alias("rate"))
 

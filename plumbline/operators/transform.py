@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators import limits as L
 from plumbline.operators.recipe import STEP_ORDER
-from plumbline.operators.stats import class_distribution, iqr_bounds
+from plumbline.operators.stats import class_distribution, iqr_bounds, selected, unpivot
 from plumbline.operators.views import View, views
 
 #: Ordinal levels numbered by one task, and the most ranges of them.
@@ -30,8 +30,7 @@ class Fit:
 
 
 def _quartiles(df: DataFrame, c: Column) -> tuple[float | None, ...]:
-    q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
-    return tuple(q) if q else (None, None, None)
+    return tuple(selected(unpivot(df, {"x": c}), [0.25, 0.5, 0.75]).get("x", (None, None, None)))
 
 
 def _replace(df: DataFrame, name: str, c: Column) -> DataFrame:
@@ -131,6 +130,17 @@ def _codes(df: DataFrame, value: Column) -> tuple[DataFrame, int]:
     return table.select("level", (F.col("before") + F.col("place") - 1).cast("double").alias("code")), n
 
 
+def _coded(df: DataFrame, v: View, table: DataFrame) -> DataFrame:
+    """df with v's values replaced by the second column of table, whose first holds the levels; null where it has none."""
+    held = "coded"
+    while held in df.columns:
+        held = f"_{held}"
+    level, code = table.columns
+    packed = table.select(F.struct(F.col(level).alias("level"), F.col(code).alias("code")).alias(held))
+    joined = df.join(packed, v.text == F.col(f"{held}.level"), "left")
+    return joined.select([F.col(f"{held}.code").alias(v.name) if n == v.name else F.col(f"`{n}`") for n in df.columns])
+
+
 def encode(df: DataFrame, step: dict, fit: Fit) -> DataFrame:
     v, method = _view(df, step["column"]), step.get("method") or "onehot"
     value = v.text
@@ -138,16 +148,14 @@ def encode(df: DataFrame, step: dict, fit: Fit) -> DataFrame:
         counts = class_distribution(df, value).select(F.col("value").alias("level"), F.col("count").cast("double").alias("uses"))
         fit.params["levels"] = counts.count()
         # a table of levels may be large: Spark broadcasts it only if it is known to be small
-        joined = df.withColumn("_level", value).join(counts, F.col("_level") == F.col("level"), "left")
-        return joined.select([F.col("uses").alias(v.name) if n == v.name else F.col(f"`{n}`") for n in df.columns])
+        return _coded(df, v, counts)
     if method == "ordinal":
         table, n = _codes(df, value)
         if n > MAPPED_LEVELS:
             fit.params["levels"] = n
         else:
             fit.params["mapping"] = {r["level"]: int(r["code"]) for r in table.orderBy("code").collect()}
-        joined = df.withColumn("_level", value).join(table, F.col("_level") == F.col("level"), "left")
-        return joined.select([F.col("code").alias(v.name) if n == v.name else F.col(f"`{n}`") for n in df.columns])
+        return _coded(df, v, table)
     found = [r[0] for r in df.select(value.alias("x")).where("x is not null").distinct().limit(L.ONE_HOT_LEVELS + 1).collect()]
     levels = sorted(found, key=lambda s: s.encode("utf-16-be"))
     if len(levels) > L.ONE_HOT_LEVELS:

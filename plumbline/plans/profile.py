@@ -61,7 +61,7 @@ def profile(
             c, u = counted[v.name], unique.get(v.name)
             guess = infer.type_of(v, c, rows, u["unique"] if u else 0)
             kind = overrides.get(v.name, guess)
-            bad = infer.invalid_count(c, rows, kind) if v.stored == "string" else 0
+            bad = infer.invalid_count(c, rows, kind, v.name in overrides) if v.stored == "string" else 0
             share = lambda n: n / rows if rows else 0.0
             out.append({
                 "name": v.name, "index": k, "type": kind, "typeOverridden": kind != guess, "missingCount": int(c["missing"]), "missingRate": share(c["missing"]), "invalidCount": bad, "invalidRate": share(bad),

@@ -184,6 +184,29 @@ def _(spark, d):
     return stats.class_distribution(table(spark, d, "orders"), F.col("o_orderpriority"))
 
 
+_MAGNITUDES = [(12345678.5, "12345678.5"), (1e7, "10000000"), (1e16, "10000000000000000"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.5e300, "1.5e+300"), (1e-5, "0.00001"), (1e-6, "0.000001"), (1.5e-7, "1.5e-7"), (0.1, "0.1"), (-2.5, "-2.5"), (0.0, "0"), (-2.25e-6, "-0.00000225")]
+
+
+@query("number_text", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, (_, t) in enumerate(_MAGNITUDES)) + ") v(id, text)")
+def _(spark, d):
+    return rows(spark, [(k, x) for k, (x, _) in enumerate(_MAGNITUDES)], "id int, x double").select("id", text.number_text(F.col("x")).alias("text"))
+
+
+@query("type_override", f"{_COUNTS} SELECT name, type, missing AS missing_count, cast(0 AS bigint) AS invalid_count FROM (SELECT name, 'numeric' AS type, missing FROM c WHERE name = 'zip' UNION ALL SELECT name, 'categorical', missing FROM c WHERE name = 'flag')")
+def _(spark, d):
+    result = profile.profile(_texts(spark, d).select("zip", "flag"), type_overrides={"zip": "numeric", "flag": "categorical"})
+    return rows(spark, [(c["name"], c["type"], c["missingCount"], c["invalidCount"]) for c in result["columns"]], "name string, type string, missing_count long, invalid_count long")
+
+
+_LEVELS_SQL = "(SELECT o_orderkey AS level, concat('k', o_orderkey) AS code, o_orderkey % 7 AS uses FROM orders)"
+
+
+@query("encode_many_levels", f"SELECT level, (dense_rank() OVER (ORDER BY code) - 1)::DOUBLE AS code, uses FROM {_LEVELS_SQL}")
+def _(spark, d):
+    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("level"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("code"), (F.col("o_orderkey") % 7).alias("uses"))
+    return transform.apply(df, [{"op": "encode", "column": "code", "method": "ordinal"}])[0]
+
+
 @query("parse_number", f"{WITH_DIRTY} SELECT row_id, try_cast(nullif(trim(amount), '') AS double) AS amount_number FROM dirty")
 def _(spark, d):
     return dirty(spark, d).select("row_id", text.to_number(F.col("amount")).alias("amount_number"))
@@ -326,15 +349,19 @@ def _facts(spark, d) -> tuple[list[dict], dict, list[dict]]:
     for r in infer.profile_columns(df, own).collect():
         out.append({"name": r["name"], "type": r["type"], "missingRate": r["missing_rate"], "invalidRate": r["invalid_rate"], "uniqueCount": r["unique_count"], "modeRate": r["mode_rate"], "stats": {}})
     numeric = {c["name"]: next(v for v in own if v.name == c["name"]).number for c in out if c["type"] == "numeric"}
-    summary = {r["name"]: r.asDict() for r in stats.numeric_summary(df, numeric).collect()}
-    rates = {r["name"]: r["rate"] for r in stats.iqr_outliers(df, numeric).collect()}
+    # numbers are parsed once for all that reads them
+    parsed = df.select(*(c.alias(n) for n, c in numeric.items())).persist()
+    numeric = {n: F.col(f"`{n}`") for n in numeric}
+    summary = {r["name"]: r.asDict() for r in stats.numeric_summary(parsed, numeric).collect()}
+    rates = {r["name"]: r["rate"] for r in stats.iqr_outliers(parsed, numeric).collect()}
     for c in out:
         if c["name"] in summary:
             c["stats"] = {k: summary[c["name"]][k] for k in ("std", "skewness", "kurtosis")} | {"outlierRate": rates[c["name"]]}
     n, repeated = stats.duplicate_rows(df).first()
     # the added row number made rows differ; without it they repeat where all else does
-    v = relations.vif(df, numeric)
-    pairs = [{"left": a, "right": b, "pearson": r, "vif": v[a]} for (a, b), r in relations.pearson_pairs(df, numeric).items()]
+    v = relations.vif(parsed, numeric)
+    pairs = [{"left": a, "right": b, "pearson": r, "vif": v[a]} for (a, b), r in relations.pearson_pairs(parsed, numeric).items()]
+    parsed.unpersist()
     return out, {"rowCount": n, "duplicateRowCount": repeated}, pairs
 
 
@@ -354,17 +381,20 @@ cols AS (SELECT a.*, s.skewness, s.kurtosis, s.std, coalesce(s.outlier_rate, 0)
 dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(ALL)} FROM dirty)) AS n FROM dirty)"""
 
 
-@query("health_items", f"""{_RULES}, m AS (SELECT 'missing' AS key, avg(missing * 1.0 / rows) * 100 AS x, 25 AS cap FROM cols UNION ALL SELECT 'duplicate', (SELECT n FROM dup) * 300.0 / max(rows), 15 FROM cols
+_PENALTIES = f"""{_RULES}, m AS (SELECT 'missing' AS key, avg(missing * 1.0 / rows) * 100 AS x, 25 AS cap FROM cols UNION ALL SELECT 'duplicate', (SELECT n FROM dup) * 300.0 / max(rows), 15 FROM cols
   UNION ALL SELECT 'constant', 5.0 * count(*) FILTER (type NOT IN ('id', 'text') AND mode_rate >= 0.95), 15 FROM cols
   UNION ALL SELECT 'cardinality', 5.0 * count(*) FILTER (type = 'categorical' AND unique_count >= 50 AND unique_count >= 0.5 * rows), 15 FROM cols
-  UNION ALL SELECT 'outlier', avg(outlier_rate) FILTER (type = 'numeric') * 300, 15 FROM cols UNION ALL SELECT 'invalid', avg(invalid * 1.0 / rows) FILTER (type NOT IN ('id', 'text')) * 500, 15 FROM cols)
-SELECT key, cast(floor(least(cap, x) + 0.5) AS integer) AS penalty FROM m""")
+  UNION ALL SELECT 'outlier', avg(outlier_rate) FILTER (type = 'numeric') * 300, 15 FROM cols UNION ALL SELECT 'invalid', avg(invalid * 1.0 / rows) FILTER (type NOT IN ('id', 'text')) * 500, 15 FROM cols),
+p AS (SELECT key, cast(floor(least(cap, x) + 0.5) AS integer) AS penalty FROM m)"""
+
+
+@query("health_items", f"{_PENALTIES} SELECT * FROM p")
 def _(spark, d):
     columns, dataset, _ = _facts(spark, d)
     return rows(spark, [(i["key"], i["penalty"]) for i in quality.health(columns, dataset)["items"]], "key string, penalty int")
 
 
-@query("health_score")
+@query("health_score", f"{_PENALTIES}, t AS (SELECT greatest(0, 100 - sum(penalty)) AS total FROM p) SELECT cast(total AS integer) AS total, CASE WHEN total >= 80 THEN 'good' WHEN total >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM t")
 def _(spark, d):
     columns, dataset, _ = _facts(spark, d)
     h = quality.health(columns, dataset)
@@ -383,7 +413,8 @@ def _(spark, d):
   UNION ALL SELECT 'F-OUTLIER-ACTION', name FROM cols WHERE type = 'numeric' AND outlier_rate >= 0.01 AND abs(skewness) >= 1
   UNION ALL SELECT 'F-BIN-SENSITIVE', name FROM cols WHERE type = 'numeric' AND unique_count <= 20)""")
 def _(spark, d):
-    found = findings.build(_facts(spark, d)[1], _facts(spark, d)[0], [], fold=False)
+    columns, dataset, _ = _facts(spark, d)
+    found = findings.build(dataset, columns, [], fold=False)
     return rows(spark, [(f["type"], f["targets"][0]) for f in found if f["scope"] == "column"], "type string, name string")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import findings, infer, quality, recipe, relations, stats, transform
 from plumbline.operators.views import views
+from plumbline.plans.profile import profile
 
 def X():  # noqa: N802
     return {"x": F.col("x")}
@@ -190,3 +191,41 @@ def test_drop_duplicates(spark):
     df = spark.createDataFrame([("a b", "c"), ("a", "b c"), ("a", "b c")], "x string, y string")
     out, log = transform.apply(df, [{"op": "drop-duplicates"}])
     assert out.count() == 2 and log[0].params["removedRows"] == 1
+
+
+def test_encode_keeps_columns_of_clashing_names(spark):
+    rows = [("b", 1, 2, 3, "x"), ("a", 4, 5, 6, "y"), ("b", 7, 8, 9, None), (None, 0, 0, 0, "y")]
+    df = spark.createDataFrame(rows, "level string, code int, uses int, _level int, coded string")
+    for method, of_level, of_coded in (("ordinal", [1, 0, 1, None], [0, 1, None, 1]), ("frequency", [2, 1, 2, None], [1, 2, None, 2])):
+        for column, want in (("level", of_level), ("coded", of_coded)):
+            got, _ = transform.apply(df, [{"op": "encode", "column": column, "method": method}])
+            assert got.columns == df.columns
+            at = df.columns.index(column)
+            expect = [r[:at] + (w,) + r[at + 1 :] for r, w in zip(rows, want, strict=True)]
+            assert sorted(map(str, (tuple(None if x is None else float(x) if k == at else x for k, x in enumerate(r)) for r in got.collect()))) == sorted(map(str, (tuple(None if x is None else float(x) if k == at else x for k, x in enumerate(r)) for r in expect)))
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    """Against sorting, with few parts a pass: ties, steep and tiny spans, infinities of scale, one value, none."""
+    import random
+
+    monkeypatch.setattr(stats, "BINS", 32)
+    rng = random.Random(3)
+    data = {"ties": [rng.choice([1.0, 2.0, 2.5]) for _ in range(200)], "steep": [10.0 ** rng.randint(-300, 300) for _ in range(9)], "wide": [-1.7e308, 1.7e308, 0.0, 5.0], "one": [3.0], "normal": [rng.gauss(0, 1) for _ in range(301)]}
+    rows = [(n, v) for n, vs in data.items() for v in vs] + [("none", None), ("one", None)]
+    at = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = stats.selected(spark.createDataFrame(rows, "name string, value double"), at)
+    assert set(got) == set(data)
+    for n, vs in data.items():
+        vs = sorted(vs)
+        for p, x in zip(at, got[n], strict=True):
+            h = (len(vs) - 1) * p
+            a, b = vs[int(h)], vs[min(int(h) + 1, len(vs) - 1)]
+            want = a + (h - int(h)) * (b - a) if b > a else a
+            assert x == want or abs(x - want) <= 1e-12 * abs(want)
+
+
+def test_overridden_type_takes_leading_zeros(spark):
+    df = spark.createDataFrame([("06236",), ("03187",), ("07995",), ("x",)], "zip string")
+    column = profile(df, type_overrides={"zip": "numeric"})["columns"][0]
+    assert (column["type"], column["invalidCount"]) == ("numeric", 1)
