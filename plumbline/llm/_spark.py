@@ -74,15 +74,18 @@ def release() -> None:
 
 
 def staged(fn: Callable) -> Callable:
-    """A pipeline stage, whose result is written before the next stage is called: that one first deletes the tables that
-    this one spooled on its way."""
+    """A pipeline stage: it first deletes the tables that stages before it spooled on their way, but not those that its own
+    input still reads. So a stage's result is written, or handed to the next stage, before any other stage is called."""
 
     @functools.wraps(fn)
-    def run(*args, **kwargs):
-        _delete(_of_stage)
+    def run(spark, docs, *args, **kwargs):
+        read = "\n".join(docs.inputFiles()) if _of_stage else ""
+        needed = [x for x in _of_stage if x[1].rpartition("/")[2] in read]
+        _delete([x for x in _of_stage if x not in needed])
+        _of_stage[:] = needed
         n = len(_written)
         try:
-            return fn(*args, **kwargs)
+            return fn(spark, docs, *args, **kwargs)
         finally:
             _of_stage.extend(_written[n:])
             del _written[n:]
@@ -98,11 +101,17 @@ def frame(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that is no column of docs in upper or lower case."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs, spooled with a number for each row, and that column's name, which docs did not have."""
-    name = "row"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = fresh(docs, "row")
     return spool(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
