@@ -78,3 +78,33 @@ def test_near_copies_at_five_words(spark):
             first[a] = first[b] = min(first[a], first[b])
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(first.values()))
+
+
+def test_stages_with_clashing_columns_in_one_chain(spark, tmp_path):
+    """Columns that carry names used inside, null ids, a text of a megabyte, and stages chained without a write."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    texts = [say(40) for _ in range(30)] + [None, "", say(150_000)]
+    texts += [texts[0], texts[1] + " more"]
+    names = ["use", "use_of_row", "row", "kept", "own", "size", "component", "shard", "_row", "g"]
+    rows = [(None if k % 11 == 0 else k, t, f"s{k % 2}", *range(len(names))) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names)
+    spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "source", *names], name
+        if name == "ngram_jaccard":
+            kept = docs.collect()
+            assert len(kept) == 32 and max(len(r["text"] or "") for r in kept) > 100_000
+    got = docs.collect()
+    assert got and all(tuple(r)[3:] == tuple(range(len(names))) for r in [*kept, *got])
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
