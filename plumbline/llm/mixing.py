@@ -103,7 +103,8 @@ def mix(docs: DataFrame, row: str | None = None, weights: tuple[float, ...] = WE
     order of a seeded hash; the mix takes the first round(target) words of that line repeated end to end, so each
     document is used floor or ceil(target / source_size) times and at most one a source is cut. The line is cut into
     blocks, which the splitting tree deals to the shards. A null source is a source of its own, last in order. Documents
-    without words are placed nowhere. Equal rows are mixed as two documents; an empty table gives two empty tables.
+    without words are placed nowhere. Rows of equal key, as of one doc_id, come by size, then by row. A text of any length
+    is counted whole, and its blocks may lie in several shards. Equal rows are mixed as two documents; an empty table gives two empty tables.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
@@ -142,10 +143,11 @@ def mix(docs: DataFrame, row: str | None = None, weights: tuple[float, ...] = WE
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs: the words of it that the mix uses, repeats counted."""
+    """doc_id, size, source_size, target, taken for every row of docs: the words of it that the mix uses, repeats counted;
+    first_shard, last_shard: of the shards to which the splitting tree dealt its blocks (null: not used)."""
     placed, sizes = mix(docs, **options)
-    used = placed.groupBy("row").agg(F.sum("words").alias("taken"))
-    return sizes.join(used, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    used = placed.groupBy("row").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    return sizes.join(used, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

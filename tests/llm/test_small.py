@@ -589,3 +589,13 @@ def test_rows_of_many_partitions(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()} == {k: k % 100 for k in range(300)}
     removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()}
     assert removed == {k: 30 if k >= 100 else 0 for k in range(300)}
+
+
+def test_shards_of_the_mix_come_from_the_tree(spark):
+    """Blocks of every source are dealt to the shards in proportion to the shards' sizes."""
+    rows = [(k, " ".join(["w"] * 3000), f"s{k % 3}") for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.taken(df, blocks_per_shard=32).collect()
+    shards = Counter(r["first_shard"] for r in got if r["taken"])
+    assert all((r["first_shard"] is None) == (r["taken"] == 0) for r in got) and len(shards) >= 8
+    assert {r["doc_id"]: r["first_shard"] for r in mixing.taken(df, blocks_per_shard=32).collect()} == {r["doc_id"]: r["first_shard"] for r in got}
