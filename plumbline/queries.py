@@ -261,7 +261,13 @@ def _(spark, d):
     return _histogram(spark, df, {"o_orderdate": F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("double")})
 
 
-@query("density_curve")
+@query("density_curve", """WITH v AS (SELECT cast(value AS double) AS x FROM events WHERE value IS NOT NULL),
+m AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n, stddev_samp(x) AS std, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM v),
+h AS (SELECT *, 0.9 * (CASE WHEN iqr > 0 THEN least(std, iqr / 1.349) ELSE std END) * n ** -0.2 AS h, (hi - lo) / least(50, ceil(log2(n)) + 1) AS width FROM m),
+f AS (SELECT lo + (least(255, floor((x - lo) / ((hi - lo) / 256))) + 0.5) * ((hi - lo) / 256) AS mid, count(*) AS c FROM v, h GROUP BY 1),
+g AS (SELECT lo + (hi - lo) * k / 63 AS x FROM h, (SELECT unnest(generate_series(0, 63)) AS k))
+SELECT cast(printf('%.6g', x) AS double) AS x, cast(printf('%.6g', sum(CASE WHEN abs(x - mid) <= 4 * h THEN c * exp(-0.5 * ((x - mid) / h) ** 2) ELSE 0 END) * any_value(width / (h * sqrt(2 * pi())))) AS double) AS y
+FROM g, f, h GROUP BY g.x""")
 def _(spark, d):
     df = table(spark, d, "events")
     c = number(df, "value")
@@ -341,9 +347,9 @@ def _(spark, d):
     return rounded(rows(spark, [(c["row"], c["col"], c["value"]) for c in spec["data"]["cells"]], "row int, col int, value double"), 6)
 
 
-def _facts(spark, d) -> tuple[list[dict], dict, list[dict]]:
-    """Column summaries, dataset and pairs of the dirty table, for the rules."""
-    df = dirty(spark, d).drop("row_id")
+def _facts(spark, d, df: DataFrame | None = None) -> tuple[list[dict], dict, list[dict]]:
+    """Column summaries, dataset and pairs of a table, the dirty one unless another is given, for the rules."""
+    df = dirty(spark, d).drop("row_id") if df is None else df
     own = views(df)
     out = []
     for r in infer.profile_columns(df, own).collect():
@@ -425,7 +431,28 @@ def _(spark, d):
     return rows(spark, [(f["type"],) for f in findings.build(dataset, columns, pairs, fold=False) if f["scope"] == "dataset"], "type string")
 
 
-@query("findings_pair")
+_R = " UNION ALL ".join(f"SELECT '{a}' AS l, '{b}' AS r, corr({_NUMBERS[a]}, {_NUMBERS[b]}) AS pearson FROM dirty" for i, a in enumerate(_NUMBERS) for b in list(_NUMBERS)[i + 1 :])
+_WHOLE = "(SELECT {columns} FROM dirty WHERE {present})".format(columns=", ".join(f"{x} AS {n}" for n, x in _NUMBERS.items()), present=" AND ".join(f"({x}) IS NOT NULL" for x in _NUMBERS.values()))
+
+
+def _minor(names: list[str]) -> str:
+    """The determinant of the correlations of up to four columns of the table `whole`, by expansion along the first row."""
+    r = lambda a, b: "1.0" if a == b else f"corr({a}, {b})"
+
+    def det(left: list[str], top: list[str]) -> str:
+        if not left:
+            return "1.0"
+        parts = [f"{'-' if k % 2 else '+'} {r(left[0], t)} * {det(left[1:], top[:k] + top[k + 1 :])}" for k, t in enumerate(top)]
+        return f"({' '.join(parts)})"
+
+    return det(names, names)
+
+
+_VIF = " UNION ALL ".join(f"SELECT '{n}' AS name, {_minor([x for x in _NUMBERS if x != n])} / {_minor(list(_NUMBERS))} AS vif FROM whole" for n in _NUMBERS)
+_MULTI = f"""{_RULES}, rs AS ({_R}), whole AS {_WHOLE}, vifs AS ({_VIF}), multi AS (SELECT l, r FROM rs JOIN vifs ON name = l WHERE abs(pearson) >= 0.8 OR vif >= 10)"""
+
+
+@query("findings_pair", f"{_MULTI} SELECT 'F-MULTICOLLINEAR' AS type, l AS \"left\", r AS \"right\" FROM multi")
 def _(spark, d):
     columns, dataset, pairs = _facts(spark, d)
     return rows(spark, [(f["type"], *f["targets"]) for f in findings.build(dataset, columns, pairs, fold=False) if f["scope"] == "pair"], "type string, left string, right string")
