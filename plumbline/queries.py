@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from plumbline.operators import findings, infer, quality, recipe, relations, sta
 from plumbline.operators import limits as L
 from plumbline.operators.views import views
 from plumbline.plans import charts, profile
+from plumbline.sources import csv, results
 
 DIRTY = """
 WITH base AS (
@@ -458,13 +461,109 @@ def _(spark, d):
     return rows(spark, [(f["type"], *f["targets"]) for f in findings.build(dataset, columns, pairs, fold=False) if f["scope"] == "pair"], "type string, left string, right string")
 
 
-@query("suggest_steps")
+_FOUND = f"""{_MULTI}, column_rules AS (SELECT * FROM (
+  SELECT 3 AS severity, 'F-MISSING-HIGH' AS finding, name FROM cols WHERE missing >= 0.2 * rows
+  UNION ALL SELECT 2, 'F-MISSING-IMPUTE', name FROM cols WHERE missing >= 0.05 * rows AND missing < 0.2 * rows AND abs(skewness) >= 1
+  UNION ALL SELECT 3, 'F-CONST-COL', name FROM cols WHERE mode_rate >= 0.95
+  UNION ALL SELECT 2, 'F-HIGH-CARD', name FROM cols WHERE type = 'categorical' AND unique_count >= 50 AND unique_count >= 0.5 * rows
+  UNION ALL SELECT 1, 'F-ID-COL', name FROM cols WHERE type = 'id' AND unique_count >= 0.99 * rows
+  UNION ALL SELECT 2, 'F-SKEW', name FROM cols WHERE type = 'numeric' AND abs(skewness) >= 2
+  UNION ALL SELECT 2, 'F-OUTLIER-RATE', name FROM cols WHERE type = 'numeric' AND outlier_rate >= 0.05
+  UNION ALL SELECT 1, 'F-OUTLIER-ACTION', name FROM cols WHERE type = 'numeric' AND outlier_rate >= 0.01 AND abs(skewness) >= 1)),
+steps AS (SELECT 2 AS severity, 0 AS targets, 'F-DUP-ROW' AS finding, 'drop-duplicates' AS op, NULL AS "column", '' AS how, 0 AS seq FROM dup WHERE n >= 1
+  UNION ALL SELECT 3, 2, 'F-MULTICOLLINEAR', 'drop-column', unnest([l, r]), '', 0 FROM multi
+  UNION ALL SELECT severity, 1, finding, 'drop-column', name, '', 1 FROM column_rules WHERE finding IN ('F-CONST-COL', 'F-ID-COL', 'F-HIGH-CARD', 'F-MISSING-HIGH')
+  UNION ALL SELECT severity, 1, finding, 'impute', name, CASE WHEN type = 'numeric' THEN 'median' ELSE 'mode' END, 0 FROM column_rules JOIN cols USING (name) WHERE finding IN ('F-MISSING-HIGH', 'F-MISSING-IMPUTE')
+  UNION ALL SELECT severity, 1, finding, 'encode', name, 'frequency', 0 FROM column_rules WHERE finding = 'F-HIGH-CARD'
+  UNION ALL SELECT severity, 1, finding, 'outlier', name, 'clip', 0 FROM column_rules WHERE finding IN ('F-OUTLIER-RATE', 'F-OUTLIER-ACTION')
+  UNION ALL SELECT severity, 1, finding, 'log1p', name, '', 0 FROM column_rules WHERE finding = 'F-SKEW')"""
+
+
+@query("suggest_steps", f"""{_FOUND} SELECT concat(op, ':', coalesce("column", ''), ':', how) AS id, op, "column", finding
+  FROM steps QUALIFY row_number() OVER (PARTITION BY op, "column" ORDER BY severity DESC, targets DESC, finding, seq) = 1""")
 def _(spark, d):
     columns, dataset, pairs = _facts(spark, d)
     steps = recipe.normalize(recipe.suggest(findings.build(dataset, columns, pairs), columns))
     return rows(spark, [(s["id"], s["op"], s["column"], s["findingType"]) for s in steps], "id string, op string, column string, finding string")
 
 
+WILD = """
+SELECT CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 40 = 0 THEN cast(1000 + o_orderkey AS double) ELSE cast(o_orderkey % 10 AS double) END AS tail,
+       cast(CASE WHEN o_orderkey % 14 = 0 THEN 1000 ELSE o_orderkey % 10 END AS double) AS far,
+       cast(o_orderkey % 1000 AS double) / 100000 AS fine,
+       concat('c', cast(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey - o_orderkey % 10 + 1 END AS string)) AS level
+FROM {orders}
+"""
+_WILD_STATS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, count(*) AS rows, count(*) - count(x) AS missing, count(DISTINCT x) AS unique_count, stddev_samp(x) AS std, avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5 AS skewness,
+    avg((x - m) ** 4) / avg((x - m) ** 2) ** 2 - 3 AS kurtosis, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) * 1.0 / count(x) AS rate
+    FROM (SELECT {c} AS x FROM wild), (SELECT avg({c}) AS m, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM wild)"""
+    for c in ("tail", "far", "fine")
+)
+_WILD = f"""WITH wild AS ({WILD.format(orders="orders")}), s AS ({_WILD_STATS}), v AS (SELECT count(*) AS rows, count(DISTINCT level) AS unique_count FROM wild)"""
+
+
+def _wild(spark, d) -> list[dict]:
+    df = spark.sql(WILD, orders=table(spark, d, "orders"))
+    columns, dataset, _ = _facts(spark, d, df)
+    return findings.build(dataset, columns, [], "tail", fold=False)
+
+
+@query("findings_skewed_table", f"""{_WILD} SELECT 'F-MISSING-HIGH' AS type, 'column' AS scope, name AS target FROM s WHERE missing >= 0.2 * rows
+  UNION ALL SELECT 'F-MISSING-IMPUTE', 'column', name FROM s WHERE missing >= 0.05 * rows AND missing < 0.2 * rows AND abs(skewness) >= 1
+  UNION ALL SELECT 'F-HIGH-CARD', 'column', 'level' FROM v WHERE unique_count >= 50 AND unique_count >= 0.5 * rows
+  UNION ALL SELECT 'F-DUP-ROW', 'dataset', '' WHERE (SELECT count(*) FROM wild) > (SELECT count(*) FROM (SELECT DISTINCT * FROM wild))
+  UNION ALL SELECT 'F-SKEW', 'column', name FROM s WHERE abs(skewness) >= 2 UNION ALL SELECT 'F-KURTOSIS', 'column', name FROM s WHERE kurtosis >= 7
+  UNION ALL SELECT 'F-OUTLIER-RATE', 'column', name FROM s WHERE rate >= 0.05 UNION ALL SELECT 'F-OUTLIER-ACTION', 'column', name FROM s WHERE rate >= 0.01 AND abs(skewness) >= 1
+  UNION ALL SELECT 'F-BIN-SENSITIVE', 'column', name FROM s WHERE unique_count <= 20
+  UNION ALL SELECT 'F-CORR-METHOD', 'dataset', '' WHERE (SELECT count(*) FROM s WHERE abs(skewness) >= 2) > 0
+  UNION ALL SELECT 'F-TARGET-SKEW', 'column', name FROM s WHERE name = 'tail' AND abs(skewness) >= 1
+  UNION ALL SELECT 'F-SCALE-DIFF', 'dataset', '' FROM (SELECT max(std) / min(std) AS ratio FROM s WHERE std > 0) WHERE ratio >= 100""")
+def _(spark, d):
+    return rows(spark, [(f["type"], f["scope"], f["targets"][0] if f["scope"] == "column" else "") for f in _wild(spark, d)], "type string, scope string, target string")
+
+
+@query("target_skew", f"{_WILD} SELECT name AS target, round(skewness, 6) AS skewness FROM s WHERE name = 'tail' AND abs(skewness) >= 1")
+def _(spark, d):
+    return rounded(rows(spark, [(f["targets"][0], f["metrics"]["skewness"]) for f in _wild(spark, d) if f["type"] == "F-TARGET-SKEW"], "target string, skewness double"), 6)
+
+
+_GAPS = {f"c{k}": f"CASE WHEN o_orderkey % 3 <> 0 THEN cast(o_orderkey * {k} % 101 AS double) END" for k in range(1, 9)}
+
+
+@query("findings_collapsed", f"""WITH gaps AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _GAPS.items())} FROM orders),
+m AS ({' UNION ALL '.join(f"SELECT '{n}' AS name, count(*) - count({n}) AS missing, count(*) AS rows FROM gaps" for n in _GAPS)}), r AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM m WHERE missing >= 0.2 * rows)
+SELECT 'F-MISSING-HIGH' AS type, name AS targets, cast(0 AS integer) AS collapsed FROM r WHERE k <= 5 UNION ALL SELECT 'F-MISSING-HIGH', string_agg(name, ',' ORDER BY k), cast(count(*) AS integer) FROM r WHERE k > 5 HAVING count(*) > 0""")
+def _(spark, d):
+    df = table(spark, d, "orders").select(*(F.expr(x).alias(n) for n, x in _GAPS.items()))
+    columns = [{"name": r["name"], "type": r["type"], "missingRate": r["missing_rate"], "invalidRate": r["invalid_rate"], "uniqueCount": r["unique_count"], "modeRate": r["mode_rate"], "stats": {}} for r in infer.profile_columns(df, views(df)).collect()]
+    columns.sort(key=lambda c: df.columns.index(c["name"]))
+    found = findings.build({"rowCount": stats.duplicate_rows(df).first()["rows"], "duplicateRowCount": 0}, columns, [])
+    return rows(spark, [(f["type"], ",".join(f["targets"]), f["metrics"].get("collapsedCount", 0)) for f in found], "type string, targets string, collapsed int")
+
+
+@query("result_json_roundtrip", f"{_COUNTS} SELECT name, type, missing AS missing_count, unique_count FROM kinds WHERE name IN ('flag', 'zip', 'amount')")
+def _(spark, d):
+    again = results.loads(results.dumps(profile.profile(_texts(spark, d).select("flag", "zip", "amount"))))
+    return rows(spark, [(c["name"], c["type"], c["missingCount"], c["uniqueCount"]) for c in again["columns"]], "name string, type string, missing_count long, unique_count long")
+
+
+def _shared_folder(spark) -> str:
+    """A new folder that all executors see: in spark.checkpoint.dir, or a local one where all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/{uuid.uuid4()}"
+
+
+@query("csv_roundtrip", "SELECT cast(n_nationkey AS varchar) AS n_nationkey, n_name, cast(n_nationkey * 12345678.5 AS double) AS big, n_name || ', \"' || n_regionkey || '\"' AS quoted FROM nation")
+def _(spark, d):
+    df = table(spark, d, "nation").select("n_nationkey", "n_name", (F.col("n_nationkey") * F.lit(12345678.5)).alias("big"), F.concat("n_name", F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"')).alias("quoted"))
+    to = _shared_folder(spark)
+    csv.write_csv(df, to)
+    return csv.read_csv(spark, to + "/part-*", max_bytes=None)[0].select("n_nationkey", "n_name", text.to_number(F.col("big")).alias("big"), "quoted")
+
+
 @query("target_imbalance", f"{WITH_DIRTY} SELECT country AS min_class, round(count(*) * 1.0 / (SELECT count(*) FROM dirty), 6) AS share FROM dirty GROUP BY country HAVING count(*) <= 0.1 * (SELECT count(*) FROM dirty)")
 def _(spark, d):
     df = dirty(spark, d)
