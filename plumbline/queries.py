@@ -239,9 +239,9 @@ def _(spark, d):
 
 def _histogram(spark, df, columns) -> DataFrame:
     long = stats.unpivot(df, columns).where("value is not null")
-    span = long.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
-    span = span.withColumn("bins", F.least(F.lit(L.MOST_BINS), F.ceil(F.log2("n")) + 1))
-    return long.join(F.broadcast(span), "name").groupBy("name", stats.bin_of(F.col("value"), F.col("lo"), F.col("hi"), F.col("bins")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    ranges = {r["name"]: (r["lo"], r["hi"], r["n"]) for r in long.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    got = stats.histograms(df, {n: columns[n] for n in ranges}, ranges)
+    return rows(spark, [(n, k, c) for n, counts in got.items() for k, c in enumerate(counts) if c], "name string, bin int, count long")
 
 
 def _histogram_sql(source: str, columns: dict[str, str]) -> str:
