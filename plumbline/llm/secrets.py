@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -50,16 +51,34 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 def weak_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Weak candidates that meet no base span and no stronger weak one."""
-    out, held = [], [(s, e) for _, s, e, _ in base]
+    out: list[tuple[str, int, int, str]] = []
+    starts, ends = _disjoint([(s, e) for _, s, e, _ in base])
     for kind, (pattern, group) in WEAK.items():
+        new = []
+        # matches of one kind do not overlap, so each need be held only against the kinds before
         for m in pattern.finditer(text):
             s, e = m.span(group)
-            if entropy(m[group]) >= LEAST_ENTROPY.get(kind, 0.0) and all(e <= a or b <= s for a, b in held):
-                held.append((s, e))
-                out.append((kind, s, e, m[group]))
+            k = bisect_left(starts, e)
+            if (k == 0 or ends[k - 1] <= s) and entropy(m[group]) >= LEAST_ENTROPY.get(kind, 0.0):
+                new.append((kind, s, e, m[group]))
+        out += new
+        starts, ends = _disjoint([*zip(starts, ends, strict=True), *((s, e) for _, s, e, _ in new)])
     return out
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The union of the spans as starts and ends in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def digest(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end, *_ in spans)
 
