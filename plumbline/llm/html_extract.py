@@ -37,6 +37,8 @@ NOISE_WORDS = re.compile(
     r"comments?|commentlist|discussion|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|tags|toc|skip-link|copyright|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Names that mark parts of the article itself where they stand within one.
+PARTS = re.compile(r"(?:^|(?<=\s))(?:discussion|related[_-]works?)(?=$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -48,6 +50,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
     # of each open block: tag, path, noise, main, keys of its children
     stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
     pieces: list[str] = []
+    # tags that nothing further on closes: the rest of the page is searched once for each
+    endless: set[str] = set()
 
     def flush() -> None:
         if pieces:
@@ -87,7 +91,9 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
         tag, closing, attributes = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if tag in RAW:
             if not closing and not (attributes.endswith("/") and tag in ("svg", "math")):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                end = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if end is None:
+                    endless.add(tag)
                 if end is None and tag not in ("script", "style", "title", "textarea", "iframe", "noscript", "template", "xmp"):
                     continue  # an unclosed control hides nothing
                 at = end.end() if end else n
@@ -98,8 +104,10 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
             continue
         if tag == "head":
             if not closing:
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                if end:
+                end = None if tag in endless else re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
+                if end is None:
+                    endless.add(tag)
+                else:
                     at = end.start() if end[0].lower().startswith("<body") else end.end()
             continue
         if tag not in BLOCKS:
@@ -129,7 +137,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str,
                 key += "." + ".".join(sorted(re.sub(r"\d+", "0", names).split()))
             role = held.get("role", "").lower()
             main = role == "main"
-            noise = "hidden" in held or role in NOISE_ROLES or bool(names) and tag not in ("html", "body", "article", "main") and NOISE_WORDS.search(names) is not None
+            noise = "hidden" in held or role in NOISE_ROLES or bool(names) and tag not in ("html", "body", "article", "main") and NOISE_WORDS.search(PARTS.sub(" ", names) if stack[-1][3] else names) is not None
             if tag in ("article", "main") and names and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|related|ads?|promo|teaser)(?=$|[\s_-])", names, re.I):
                 noise = True
         _, path, above, inside, children = stack[-1]
