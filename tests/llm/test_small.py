@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -404,6 +405,31 @@ def test_secrets(spark, none):
     assert secrets.scan(df).count() == len(rows) and secrets.scan(none).count() == 0
 
 
+def test_weak_spans_meet_no_others():
+    """Against a comparison of each candidate with all before it; many candidates take time in proportion."""
+    parts = ["eyJabcdefgh12", ".", "eyJ0123456789ab", ".abcdefgh12", "ghp_", "a1B2c3D4e5F6g7H8i9J0", " ", "sk-", "http://u:", "pw1234567", "@h ", "token=", "xoxb-12345abcde67890", "0123456789abcdef" * 2, "-"]
+    rng, met = random.Random(5), 0
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        base = secrets.base_spans(text)
+        want, held = [], [(s, e) for _, s, e, _ in base]
+        for kind, (pattern, group) in secrets.WEAK.items():
+            for m in pattern.finditer(text):
+                s, e = m.span(group)
+                if secrets.entropy(m[group]) < secrets.LEAST_ENTROPY.get(kind, 0.0):
+                    continue
+                if all(e <= a or b <= s for a, b in held):
+                    held.append((s, e))
+                    want.append((kind, s, e, m[group]))
+                else:
+                    met += 1
+        assert secrets.weak_spans(text, base) == want
+    assert met
+    began = time.process_time()
+    assert len(secrets.weak_spans(" ".join(f"aZ9{k:08d}bcDefGhIjKlMn{k}x" for k in range(30_000)), [])) == 30_000
+    assert time.process_time() - began < 10
+
+
 def test_short_secrets_in_addresses(spark):
     """Ownership alone decides on credentials whose form marks them, however short."""
     rows = [(1, "db postgres://app:x7Kq2z@db.example/main", "a"), (2, "ftp://me:hunter22@files.example", "b"), (3, "xoxb-1111111111", "c")]
@@ -508,6 +534,21 @@ def test_html_of_copied_articles(spark):
         assert got[30 + k] == f"Head {k}\nLong own words of page {k}, not of others"
 
 
+def test_html_names_of_parts():
+    """A section named discussion belongs to the article that holds it; elsewhere it holds comments."""
+    blocks, _ = html_extract.parse("<article><section id=discussion><p>We find</p></section><section class='Related-Work'><p>Others</p></section><div class='related'>See</div></article><div id=discussion>me too</div>")
+    assert [(text, noise) for _, noise, _, text in blocks] == [("We find", False), ("Others", False), ("See", True), ("me too", True)]
+
+
+def test_html_of_unclosed_tags():
+    """Nothing closes these tags: each hides nothing, and the page is searched once for each kind."""
+    for tag in ("head", "button", "svg"):
+        began = time.process_time()
+        blocks, _ = html_extract.parse(f"<{tag}>a " * 100_000)
+        assert time.process_time() - began < 10
+        assert "".join(b[3] for b in blocks).split() == ["a"] * 100_000
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randint(0, 500), rng.randint(0, 500)) for _ in range(250)] + [(900, x) for x in range(901, 960)] + [(k, k + 1) for k in range(2000, 2080)]
