@@ -12,6 +12,7 @@ from plumbline.operators import limits as L
 from plumbline.operators.stats import frequencies, unique_and_mode, unpivot
 from plumbline.operators.views import View
 
+
 def _parts(t: Column) -> Column:
     """What the counters look at in one trimmed, present text."""
     number = text.trimmed_number(t).isNotNull()
@@ -22,29 +23,34 @@ def _parts(t: Column) -> Column:
 
 
 def value_counters(values: DataFrame) -> DataFrame:
-    """name, missing, numeric, plain, dates, booleans, length, spaced from name, value (trimmed text, null if missing) and
+    """name, present, numeric, plain, dates, booleans, length, spaced from name, value (trimmed text, null if missing) and
     count, the rows of that value. Each value is looked at once, however many rows and columns there are."""
     # a lambda's variable is computed once for all tests
     seen = values.select("name", "value", "count", F.get(F.transform(F.filter(F.array("value"), lambda x: x.isNotNull()), _parts), F.lit(0)).alias("p"))
     n = F.col("count")
     add = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     return seen.groupBy("name").agg(
-        add(F.col("value").isNull()).alias("missing"), add(F.col("p.number")).alias("numeric"), add(F.col("p.plain")).alias("plain"), add(F.col("p.date")).alias("dates"),
+        add(F.col("value").isNotNull()).alias("present"), add(F.col("p.number")).alias("numeric"), add(F.col("p.plain")).alias("plain"), add(F.col("p.date")).alias("dates"),
         add(F.col("p.boolean")).alias("booleans"), F.coalesce(F.sum(F.col("p.length") * n), F.lit(0.0)).alias("length"), add(F.col("p.spaced")).alias("spaced"),
     )
 
 
-def count_columns(df: DataFrame, views: Sequence[View]) -> tuple[int, dict[str, dict[str, float]]]:
-    """Rows, and the counters of every column: one aggregate for missing values, and one over the distinct values of all text columns."""
+def count_columns(df: DataFrame, views: Sequence[View], freq: DataFrame | None = None) -> tuple[int, dict[str, dict[str, float]]]:
+    """Rows, and the counters of every column: one aggregate for missing values, and one over the distinct values of all text columns.
+
+    freq: those values if they are known (name, value, count), those of other columns among them.
+    """
     plain = [v for v in views if v.stored != "string"]
     got = df.agg(F.count(F.lit(1)), *(F.count_if(~v.present) for v in plain)).first()
     out = {v.name: {"missing": n} for v, n in zip(plain, got[1:], strict=True)}
     texts = {v.name: v.text for v in views if v.stored == "string"}
     if texts:
-        values = unpivot(df, texts).groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
-        empty = {"missing": 0, "numeric": 0, "plain": 0, "dates": 0, "booleans": 0, "length": 0.0, "spaced": 0}
+        values = freq.where(F.col("name").isin(list(texts))) if freq is not None else unpivot(df, texts).groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+        empty = {"present": 0, "numeric": 0, "plain": 0, "dates": 0, "booleans": 0, "length": 0.0, "spaced": 0}
         found = {r["name"]: r.asDict() for r in value_counters(values).collect()}  # one row a column
-        out |= {name: empty | {k: x for k, x in found.get(name, {}).items() if k != "name"} for name in texts}
+        for name in texts:
+            c = empty | {k: x for k, x in found.get(name, {}).items() if k != "name"}
+            out[name] = {"missing": got[0] - c.pop("present")} | c
     return got[0], out
 
 
@@ -84,9 +90,12 @@ def type_of(v: View, c: Mapping[str, float], rows: int, unique: int) -> str:
 
 def profile_columns(df: DataFrame, views: Sequence[View]) -> DataFrame:
     """name, type, missing_count, missing_rate, invalid_count, invalid_rate, unique_count, mode_rate of every column."""
-    rows, counted = count_columns(df, views)
-    freq = unique_and_mode(frequencies(df, {v.name: v.text for v in views}))
-    of = {r["name"]: r for r in freq.collect()}  # one row a column
+    freq = frequencies(df, {v.name: v.text for v in views}).persist()
+    try:
+        rows, counted = count_columns(df, views, freq)
+        of = {r["name"]: r for r in unique_and_mode(freq).collect()}  # one row a column
+    finally:
+        freq.unpersist()
     out = []
     for v in views:
         c, r = counted[v.name], of.get(v.name)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import limits as L
+from plumbline.operators.stats import unpivot
 
 #: Pairs in one aggregate.
 AT_A_TIME = 12
@@ -39,28 +40,83 @@ def pearson_pairs(df: DataFrame, columns: dict[str, Column]) -> dict[tuple[str,
     return out
 
 
+def ranks_of(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """name, value, rank of every distinct value of each column, from counts: sorted ranges of values are summed apart, then offset."""
+    counts = unpivot(df, columns).where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.repartitionByRange("name", "value").withColumn("part", F.spark_partition_id())
+    parts = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("name", "part").orderBy("value")))
+    sums = parts.groupBy("name", "part").agg(F.sum("n").alias("whole"), F.min("value").alias("least"))
+    before = sums.withColumn("before", F.sum("whole").over(Window.partitionBy("name").orderBy("least")) - F.col("whole")).select("name", "part", "before")
+    placed = parts.join(F.broadcast(before), ["name", "part"])  # a row for each partition, and one more a column at most
+    return placed.select("name", "value", (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+
+
 def ranks(df: DataFrame, column: Column) -> DataFrame:
-    """value, rank of every distinct value, from counts: sorted ranges of values are summed apart, then offset."""
-    counts = df.where(column.isNotNull()).groupBy(column.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("value")))
-    sums = parts.groupBy("part").agg(F.sum("n").alias("whole"), F.min("value").alias("least"))
-    before = sums.withColumn("before", F.sum("whole").over(Window.orderBy("least")) - F.col("whole")).select("part", "before")
-    placed = parts.join(F.broadcast(before), "part")  # one row a partition
-    return placed.select("value", (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+    """value, rank of every distinct value."""
+    return ranks_of(df, {"x": column}).select("value", "rank")
+
+
+def present_in_both(df: DataFrame, n: int) -> np.ndarray:
+    """Rows where both of two of the columns x0, x1, ... are present."""
+    out = np.zeros((n, n), np.int64)
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    for lo in range(0, len(cells), 3 * AT_A_TIME):
+        part = cells[lo : lo + 3 * AT_A_TIME]
+        got = df.agg(*(F.count_if(F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()).alias(f"n{k}") for k, (i, j) in enumerate(part))).first()
+        for (i, j), x in zip(part, got, strict=True):
+            out[i, j] = out[j, i] = x
+    return out
+
+
+def spearman_pairs(df: DataFrame, columns: dict[str, Column]) -> dict[tuple[str, str], float | None]:
+    """Every pair's Pearson correlation of the average ranks over the rows where both are present.
+
+    A column is ranked over all its rows for partners that are present wherever it is, and once for each other set of rows
+    that its partners leave of them. All ranks come from one shuffle of distinct values; each column's are joined to the
+    rows once, and all pairs read the rows ranked so. None as in pearson_pairs.
+    """
+    names = list(columns)
+    if len(names) < 2:
+        return {}
+    data = df.select(*(columns[c].cast("double").alias(f"x{k}") for k, c in enumerate(names)))
+    both = present_in_both(data, len(names))
+    # columns that are present in the same rows as an earlier one
+    like = [next(i for i in range(j + 1) if both[i, j] == both[i, i] == both[j, j]) for j in range(len(names))]
+    rank = lambda i, j: f"r{i}" if both[i, j] == both[i, i] else f"r{i}_{like[j]}"
+    wanted = {i: sorted({rank(i, j) for j in range(len(names)) if j != i}) for i in range(len(names))}
+    cells = {}
+    for i, own in wanted.items():
+        for r in own:
+            mask = r.partition("_")[2]
+            cells[r] = F.when(F.col(f"x{mask}").isNotNull(), F.col(f"x{i}")) if mask else F.col(f"x{i}")
+    found = ranks_of(data, cells).persist()
+    ranked = data
+    for i, own in wanted.items():
+        of = found.where(F.col("name").isin(own)).groupBy(F.col("value").alias(f"v{i}")).agg(*(F.max(F.when(F.col("name") == r, F.col("rank"))).alias(f"of_{r}") for r in own))
+        ranked = ranked.join(of, F.col(f"x{i}") == F.col(f"v{i}"), "left")
+    # a value has a rank for a mask wherever it occurs: it counts in the rows that the mask holds
+    ranked = ranked.select(*(F.when(cells[r].isNotNull(), F.col(f"of_{r}")).alias(r) for r in cells)).persist()
+    out: dict[tuple[str, str], float | None] = {}
+    try:
+        pairs = list(combinations(range(len(names)), 2))
+        for lo in range(0, len(pairs), AT_A_TIME):
+            part, aggs = pairs[lo : lo + AT_A_TIME], []
+            for i, j in part:
+                mean = F.lit((int(both[i, j]) + 1) / 2)
+                x, y = F.col(rank(i, j)) - mean, F.col(rank(j, i)) - mean
+                aggs += [F.sum(x * x), F.sum(y * y), F.sum(x * y)]
+            sums = ranked.agg(*(c.alias(f"s{k}") for k, c in enumerate(aggs))).first()
+            for k, (i, j) in enumerate(part):
+                xx, yy, xy = sums[3 * k : 3 * k + 3]
+                out[names[i], names[j]] = None if both[i, j] < 2 or xx < L.EPSILON or yy < L.EPSILON else xy / (xx * yy) ** 0.5
+    finally:
+        ranked.unpersist()
+        found.unpersist()
+    return out
 
 
 def spearman(df: DataFrame, a: Column, b: Column) -> float | None:
-    """Pearson of the average ranks over the rows where both are present."""
-    both = df.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b"))
-    ra, rb = (ranks(both, F.col(c)).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")) for c in ("a", "b"))
-    ranked = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(ra, "a").join(rb, "b")
-    n = F.col("n")
-    # the mean rank is (rows + 1) / 2
-    rows = ranked.agg(F.sum("n")).first()[0] or 0
-    x, y = F.col("ra") - (rows + 1) / 2, F.col("rb") - (rows + 1) / 2
-    xx, yy, xy = ranked.agg(F.sum(n * x * x), F.sum(n * y * y), F.sum(n * x * y)).first()
-    return None if rows < 2 or xx < L.EPSILON or yy < L.EPSILON else xy / (xx * yy) ** 0.5
+    return spearman_pairs(df, {"a": a, "b": b})["a", "b"]
 
 
 def gram(df: DataFrame, columns: dict[str, Column]) -> tuple[int, np.ndarray]:
@@ -123,8 +179,9 @@ def correlations(df: DataFrame, columns: dict[str, Column], order: Sequence[Colu
     if len(columns) < 2:
         return []
     r = pearson_pairs(df, columns)
+    rho = spearman_pairs(df, columns)
     v = vif(df, columns)
-    out = [{"left": a, "right": b, "pearson": x, "spearman": spearman(df, columns[a], columns[b]), "vif": v[a]} for (a, b), x in r.items()]
+    out = [{"left": a, "right": b, "pearson": x, "spearman": rho[a, b], "vif": v[a]} for (a, b), x in r.items()]
     if points:
         for p in sorted((p for p in out if p["pearson"] is not None), key=lambda p: -abs(p["pearson"]))[: L.SCATTER_PAIRS]:
             got = scatter(df, columns[p["left"]], columns[p["right"]], order or [F.monotonically_increasing_id()]).collect()

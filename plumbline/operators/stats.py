@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +123,12 @@ def frequencies(df: DataFrame, columns: dict[str, Column], order: Column | None
     return long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"), first.alias("first"))
 
 
+def renamed(freq: DataFrame, columns: Sequence[str], fn: Callable[[Column], Column], ordered: bool) -> DataFrame:
+    """Frequencies in which the named columns' values became fn(value): equal ones are added up."""
+    own = freq.where(F.col("name").isin(list(columns))).groupBy("name", fn(F.col("value")).alias("value")).agg(F.sum("count").alias("count"), F.min("first").alias("first"))
+    return freq.where(~F.col("name").isin(list(columns))).unionByName(own if ordered else own.withColumn("first", F.col("value")))
+
+
 def unique_and_mode(freq: DataFrame) -> DataFrame:
     """name, unique, mode_rate: the most frequent value's share of the present ones."""
     return freq.groupBy("name").agg(F.count(F.lit(1)).alias("unique"), (F.max("count") / F.sum("count")).alias("mode_rate"))

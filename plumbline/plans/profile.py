@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text
 from plumbline.operators import findings, infer, quality, relations, stats, transform
 from plumbline.operators import limits as L
 from plumbline.operators.views import View, plain, views
@@ -45,12 +46,13 @@ def profile(
     data = plain(df.drop(order_column) if order_column else df)
     whole = plain(df)
     cols = views(data, {n for n, t in overrides.items() if t != "numeric"})
-    rows, counted = infer.count_columns(data, cols)
+    known = stats.frequencies(whole, {v.name: v.text for v in cols}, order).persist()
+    rows, counted = infer.count_columns(data, cols, known)
     # text columns that hold only numbers are numbers from here on
     numbers = [v.name for v in cols if v.stored == "string" and infer.stored_as_number(counted[v.name], rows) and overrides.get(v.name, "numeric") == "numeric"]
     whole, data = transform.typed(whole, numbers), transform.typed(data, numbers)
     cols = [View(v.name, "numeric") if v.name in numbers else v for v in cols]
-    freq = stats.frequencies(whole, {v.name: v.text for v in cols}, order).persist()
+    freq = stats.renamed(known, numbers, lambda t: text.number_text(text.trimmed_number(t)), order is not None) if numbers else known
     try:
         unique = {r["name"]: r for r in stats.unique_and_mode(freq).collect()}
         samples: dict[str, list[str]] = {}
@@ -77,21 +79,24 @@ def profile(
         for r in stats.top_values(freq.where(F.col("name").isin(classes))).orderBy("name", "rank").collect() if classes else []:
             top.setdefault(r["name"], []).append({"value": r["value"], "count": r["count"]})
     finally:
-        freq.unpersist()
-    summary = {r["name"]: r for r in stats.numeric_summary(data, numeric).collect()} if numeric else {}
+        known.unpersist()
+    # numbers and dates are parsed once for all that reads them
+    parsed = whole.select(*(c.alias(n) for n, c in (numeric | dates).items()), *([order] if order is not None else [])).persist()
+    numeric, dates = ({n: F.col(f"`{n}`") for n in x} for x in (numeric, dates))
+    summary = {r["name"]: r for r in stats.numeric_summary(parsed, numeric).collect()} if numeric else {}
     spans = {n: (r["min"], r["max"], r["n"]) for n, r in summary.items() if r["n"]}
     if dates:
-        got = data.agg(*(f.alias(f"d{k}") for k, f in enumerate(f for c in dates.values() for f in (F.min(c), F.max(c), F.count(c))))).first()
+        got = parsed.agg(*(f.alias(f"d{k}") for k, f in enumerate(f for c in dates.values() for f in (F.min(c), F.max(c), F.count(c))))).first()
         when = {n: tuple(got[3 * k : 3 * k + 3]) for k, n in enumerate(dates)}
     else:
         when = {}
     spans_all = spans | {n: s for n, s in when.items() if s[2]}
-    counts = stats.histograms(data, numeric | dates, spans_all)
-    fine = stats.histograms(data, numeric, spans, L.FINE_BINS)
+    counts = stats.histograms(parsed, numeric | dates, spans_all)
+    fine = stats.histograms(parsed, numeric, spans, L.FINE_BINS)
     rates = {}
     if spans:
         bounds = {n: stats.iqr_bounds(summary[n]["q1"], summary[n]["q3"]) for n in spans}
-        got = data.agg(*(stats.outside(numeric[n], *bounds[n]).alias(f"o{k}") for k, n in enumerate(spans))).first()
+        got = parsed.agg(*(stats.outside(numeric[n], *bounds[n]).alias(f"o{k}") for k, n in enumerate(spans))).first()
         rates = {n: got[k] / spans[n][2] for k, n in enumerate(spans)}
     for c in out:
         name = c["name"]
@@ -112,8 +117,10 @@ def profile(
         if name == target and c["type"] in ("categorical", "boolean"):
             c["classDistribution"] = {r["value"]: r["count"] for r in stats.class_distribution(data, of[name].text).collect()}
     if not enter():
+        parsed.unpersist()
         return None
-    pairs = relations.correlations(whole, numeric, [order] if order is not None else None)
+    pairs = relations.correlations(parsed, numeric, [order] if order is not None else None)
+    parsed.unpersist()
     repeated = stats.duplicate_rows(data).first()["duplicates"]
     memory = data.agg(stats.memory_bytes([v.raw for v in cols if v.stored != "string"], [F.coalesce(v.raw.cast("string"), F.lit("")) for v in cols if v.stored == "string"])).first()[0]
     dataset = {

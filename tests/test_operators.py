@@ -1,12 +1,16 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import text
 from plumbline.operators import findings, infer, quality, recipe, relations, stats, transform
 from plumbline.operators.views import views
 from plumbline.plans.profile import profile
 
+
 def X():  # noqa: N802
     return {"x": F.col("x")}
 
@@ -89,6 +93,33 @@ def test_pearson_and_spearman(spark):
     assert s([1, 2, 2, 3], [1, 2.5, 2.5, 4]) == pytest.approx(1)
 
 
+def test_spearman_ranks_each_pair_over_its_own_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (400, 5)).astype(float)
+    x[:, 3] += x[:, 0]
+    x[:200, 1] = np.nan
+    x[:200, 2] = np.nan  # in the same rows
+    x[rng.random(400) < 0.3, 3] = np.nan
+    names = list("abcde")
+    frame = pd.DataFrame(x, columns=names)
+    df = spark.createDataFrame([[None if v != v else v for v in r] for r in x.tolist()], ", ".join(f"{n} double" for n in names))
+    got = relations.spearman_pairs(df, {n: F.col(n) for n in names})
+    want = frame.corr(method="spearman")
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        assert r == pytest.approx(want.loc[a, b])
+    assert relations.spearman_pairs(df.where("false"), {n: F.col(n) for n in names})[("a", "b")] is None
+
+
+def test_counters_from_known_values_count_alike(spark):
+    df = spark.createDataFrame([(" 1,000 ", "x"), ("1000", None), ("", "2023-01-02"), (None, "yes")], "a string, b string")
+    own = views(df)
+    known = stats.frequencies(df, {v.name: v.text for v in own})
+    assert infer.count_columns(df, own, known) == infer.count_columns(df, own)
+    merged = stats.renamed(known, ["a"], lambda t: text.number_text(text.trimmed_number(t)), False)
+    assert {tuple(r)[1:] for r in merged.where("name = 'a'").collect()} == {("1000", 2, "1000")}
+
+
 def test_vif(spark):
     assert relations.vif(pair(spark, [1, 2, 3, 4], [1, -1, 1, -1]), AB())["a"] == pytest.approx(1.25)
     df = pair(spark, [1, 2, 3, 4, 5], [2, 4, 1, 8, 5]).withColumn("c", F.col("a") + F.col("b"))
