@@ -132,6 +132,23 @@ def test_scatter_is_even(spark):
     assert got == [float(math.floor(k * 1000 / 200)) for k in range(200)]
 
 
+def test_scatter_of_many_partitions_loses_no_point(spark, tmp_path):
+    n = 300_000
+    path = str(tmp_path / "rows")
+    # wide rows: a plan that reads the keys only and one that reads all columns do not cut their ranges alike
+    spark.range(n).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("o"), F.col("id").cast("double").alias("a"), F.rand(1).alias("b")).write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = sorted((r["o"], r["a"], r["b"]) for r in df.collect())
+    got = sorted(tuple(r) for r in relations.scatter(df, F.col("a"), F.col("b"), [F.col("o")]).collect())
+    assert got == [(k, *rows[k * n // 200][1:]) for k in range(200)]
+    few = relations.scatter(df.where("i < 3"), F.col("a"), F.col("b"), [F.col("i")], most=3)
+    assert sorted(tuple(r)[:2] for r in few.collect()) == [(0, 0.0), (1, 1.0), (2, 2.0)]
+    assert relations.scatter(df.where("false"), F.col("a"), F.col("b"), [F.col("i")]).collect() == []
+    # ties of the order go by x, then y
+    tied = relations.scatter(df, F.col("a"), F.col("b"), [F.lit(0)], most=100).collect()
+    assert sorted(tuple(r)[:2] for r in tied) == [(k, float(k * n // 100)) for k in range(100)]
+
+
 def column(name="c", kind="numeric", **more):
     return {"name": name, "type": kind, "missingRate": 0.0, "invalidRate": 0.0, "uniqueCount": 100, "modeRate": 0.1, "stats": {}} | more
 
