@@ -126,6 +126,43 @@ def test_vif(spark):
     assert relations.vif(df, AB() | {"c": F.col("c")})["a"] is None
 
 
+def near_copies(spark):
+    """Like the dirty table: a price, the price rounded, twice the price and a little, and a column of its own."""
+    rng = np.random.default_rng(5)
+    price = np.round(rng.uniform(1000, 400_000, 5000), 2)
+    k = np.arange(5000)
+    x = np.stack([np.round(price), price, price * 2 + k % 7, k % 5], axis=1)
+    names = ["amount", "price", "price2", "rating"]
+    return spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names)), names, x
+
+
+def test_vif_of_near_copies(spark):
+    df, names, x = near_copies(spark)
+    got = relations.vif(df, {n: F.col(n) for n in names})
+    x = x - x.mean(axis=0)
+    for i, n in enumerate(names):
+        rest = np.delete(x, i, axis=1)
+        rest = rest / rest.std(axis=0)
+        own = x[:, i] - rest @ np.linalg.lstsq(rest, x[:, i], rcond=None)[0]
+        assert got[n] == pytest.approx((x[:, i] @ x[:, i]) / (own @ own), rel=1e-3)
+    assert got["amount"] > 1e11 and got["rating"] < 1.01
+    # exact copies stay undefined, and so do the others beside them
+    exact = df.withColumn("sum", F.col("price") + F.col("rating"))
+    assert set(relations.vif(exact, {n: F.col(n) for n in ("price", "rating", "sum")}).values()) == {None}
+    twice = relations.vif(exact.withColumn("twice", F.col("price") * 2), {n: F.col(n) for n in ("price", "twice", "rating")})
+    assert set(twice.values()) == {None}
+    assert relations.vif(df, {"price": F.col("price")}) == {"price": None} and relations.vif(df.where("false"), {n: F.col(n) for n in names})["price"] is None
+
+
+def test_pairs_of_a_column_with_high_vif_are_found(spark):
+    df, names, _ = near_copies(spark)
+    columns = {n: F.col(n) for n in names}
+    v = relations.vif(df, columns)
+    pairs = [{"left": a, "right": b, "pearson": r, "vif": v[a]} for (a, b), r in relations.pearson_pairs(df, columns).items()]
+    found = findings.build({"rowCount": 5000, "duplicateRowCount": 0}, [column(n) for n in names], pairs, fold=False)
+    assert {tuple(f["targets"]) for f in found if f["type"] == "F-MULTICOLLINEAR"} == {(a, b) for k, a in enumerate(names) for b in names[k + 1 :]}
+
+
 def test_scatter_is_even(spark):
     df = spark.range(1000).select(F.col("id"), F.col("id").cast("double").alias("a"), (F.col("id") * 2).cast("double").alias("b"))
     got = sorted(r["x"] for r in relations.scatter(df, F.col("a"), F.col("b"), [F.col("id")]).collect())
