@@ -227,6 +227,15 @@ def test_every_finding_has_a_step_or_a_reason():
         assert bool(recipe.suggest([{"type": k, "targets": ["c"]}], [column()])) != (k in recipe.NO_STEP)
 
 
+def test_steps_for_every_column_of_a_pair(spark):
+    df, names, _ = near_copies(spark)
+    columns = [column(n) for n in names]
+    pairs = relations.correlations(df, {n: F.col(n) for n in names}, points=False)
+    steps = recipe.normalize(recipe.suggest(findings.build({"rowCount": 5000, "duplicateRowCount": 0}, columns, pairs), columns))
+    # the sixth pair is folded into one row; its columns count as well
+    assert {s["id"] for s in steps if s["findingType"] == "F-MULTICOLLINEAR"} == {f"drop-column:{n}:" for n in names}
+
+
 def table(spark):
     v = [*range(10), 1000, None]
     return spark.createDataFrame([(i, None if x is None else float(x), None if i == 11 else "가나"[i % 2], "7") for i, x in enumerate(v)], "row int, v double, g string, c string")
