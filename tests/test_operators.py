@@ -9,6 +9,7 @@ from plumbline.functions import text
 from plumbline.operators import findings, infer, quality, recipe, relations, stats, transform
 from plumbline.operators.views import views
 from plumbline.plans.profile import profile
+from plumbline.queries import queries
 
 
 def X():  # noqa: N802
@@ -236,6 +237,17 @@ def test_steps_for_every_column_of_a_pair(spark):
     assert {s["id"] for s in steps if s["findingType"] == "F-MULTICOLLINEAR"} == {f"drop-column:{n}:" for n in names}
 
 
+def test_suggest_steps_query(spark, tmp_path):
+    price = np.round(np.random.default_rng(7).uniform(1000, 400_000, 4000), 2)
+    orders = [(k, float(x), f"2024-01-{k % 28 + 1:02d}", f"{k % 5 + 1}-LEVEL") for k, x in enumerate(price)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries()["suggest_steps"](spark, str(tmp_path)).collect()
+    # rating goes with no column, but stands beside three whose VIFs are some 1e11
+    near = {(f"drop-column:{n}:", "F-MULTICOLLINEAR") for n in ("amount", "price", "price2", "rating")}
+    other = {("drop-duplicates::", "F-DUP-ROW"), ("drop-column:country:", "F-CONST-COL"), ("drop-column:member_id:", "F-ID-COL"), ("impute:price:median", "F-MISSING-HIGH"), ("impute:price2:median", "F-MISSING-HIGH")}
+    assert len(got) == 9 and {(r["id"], r["finding"]) for r in got} == near | other
+
+
 def table(spark):
     v = [*range(10), 1000, None]
     return spark.createDataFrame([(i, None if x is None else float(x), None if i == 11 else "가나"[i % 2], "7") for i, x in enumerate(v)], "row int, v double, g string, c string")
